@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discatlas.llm import chunking, leaks, packing, setpairs
+from discatlas.llm import chunking, encodings, leaks, packing, setpairs
 from discatlas.tables import distinct_delivery, load
 
 
@@ -28,6 +28,17 @@ def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
     return setpairs.classes(_sets(spark, folder), 4)[1].select(F.col("group").alias("set_kind"), F.col("id").alias("set_id"), F.col("set").alias("class_id"), F.col("n").alias("n_values"))
 
 
+def _garbled(spark: SparkSession, folder: str) -> DataFrame:
+    """Files whose name or path is not plain ASCII, once each."""
+    files = load(spark, folder, "extracted_files").select("id", "filename", "path")
+    return distinct_delivery(files.where(r"filename RLIKE '[^\\x00-\\x7F]' OR path RLIKE '[^\\x00-\\x7F]'"), "id")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """File names and paths garbled by a wrong decoding, with their original."""
+    return encodings.restore(_garbled(spark, folder), "id", ["filename", "path"]).withColumnRenamed("key", "file_id")
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Container and position of every document or piece, 2,048 tokens a container."""
     return packing.pack(load(spark, folder, "documents"))
@@ -51,6 +62,7 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p6_found": p6_found,
     "p7_containers": p7_containers,
     "p8_found": p8_found,
     "p9_found": p9_found,
