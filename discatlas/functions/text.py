@@ -24,12 +24,16 @@ def url_id(uuid: Column | str, name: Column | str) -> Column:
 
 
 def human_size(size: Column | str) -> Column:
-    """Bytes with the unit that leaves a number below 1024, one decimal, at most TB."""
-    c = _col(size).cast("double")
-    out = F.when(_col(size) < 1024, F.concat(_col(size).cast("string"), F.lit(" B")))
-    for power, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(c < 1024.0 ** (power + 1), F.concat(F.format_string("%.1f", c / 1024.0**power), F.lit(f" {unit}")))
-    return out.otherwise(F.when(c.isNotNull(), F.concat(F.format_string("%.1f", c / 1024.0**4), F.lit(" TB"))))
+    """Bytes with the unit that leaves a number below 1024, to one decimal half up, at most TB; all in whole numbers."""
+    c = _col(size).cast("long")
+    out = F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B")))
+    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        half = 1 << (10 * power - 1)
+        whole, rest = F.shiftright(c, 10 * power), c.bitwiseAND((1 << 10 * power) - 1)
+        tenths = whole * 10 + F.shiftright(rest * 10 + half, 10 * power)
+        shown = F.concat((F.floor(tenths / 10)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
+        out = out.when((c < 1 << 10 * (power + 1)) if unit != "TB" else c.isNotNull(), shown)
+    return out
 
 
 def parse_size(text: Column | str) -> Column:

@@ -62,10 +62,10 @@ def fun16_filetype_names(c: Catalogue) -> DataFrame:
     return counted.select("code", formats.filetype_name("code").alias("name"), "n")
 
 
-@R.query("""SELECT id AS blob_id, CASE WHEN file_size < 1024 THEN file_size || ' B' WHEN file_size < 1048576 THEN printf('%.1f', file_size / 1024.0::DOUBLE) || ' KB' WHEN file_size < 1073741824 THEN printf('%.1f', file_size / 1048576.0::DOUBLE) || ' MB' ELSE printf('%.1f', file_size / 1073741824.0::DOUBLE) || ' GB' END AS size FROM b WHERE file_size IS NOT NULL AND file_size % 512 <> 256""")
+@R.query(", t AS (SELECT id, file_size, CASE WHEN file_size < 1048576 THEN 1024 WHEN file_size < 1073741824 THEN 1048576 ELSE 1073741824 END AS unit FROM b WHERE file_size IS NOT NULL), d AS (SELECT *, (file_size * 20 + unit) // (2 * unit) AS tenths FROM t) SELECT id AS blob_id, CASE WHEN file_size < 1024 THEN file_size || ' B' ELSE (tenths // 10) || '.' || (tenths % 10) || CASE unit WHEN 1024 THEN ' KB' WHEN 1048576 THEN ' MB' ELSE ' GB' END END AS size FROM d")
 def fun17_human_sizes(c: Catalogue) -> DataFrame:
-    """Sizes of the blobs for people, but those that fall right between two roundings."""
-    return c.blobs.where("file_size IS NOT NULL AND file_size % 512 != 256").select(F.col("id").alias("blob_id"), text.human_size("file_size").alias("size"))
+    """Sizes of the blobs for people."""
+    return c.blobs.where("file_size IS NOT NULL").select(F.col("id").alias("blob_id"), text.human_size("file_size").alias("size"))
 
 
 @R.query(r"""SELECT id AS artefact_id, TRY_CAST(nullif(regexp_extract(label, '(?i)\b(?:disc|disk|cd)\s*([0-9]+)(?:\s*(?:of|/)\s*([0-9]+))?', 1), '') AS INTEGER) AS number, TRY_CAST(nullif(regexp_extract(label, '(?i)\b(?:disc|disk|cd)\s*([0-9]+)(?:\s*(?:of|/)\s*([0-9]+))?', 2), '') AS INTEGER) AS out_of,
