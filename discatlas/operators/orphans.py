@@ -107,7 +107,8 @@ def orphans(refs: DataFrame, targets: DataFrame) -> DataFrame:
     refs = refs.where("key IS NOT NULL")
     by_key = targets.where("key IS NOT NULL").groupBy("key").agg(F.max(F.when(~F.coalesce("deleted", F.lit(False)), F.lit(True))).alias("live"), F.min(F.when(~F.coalesce("deleted", F.lit(False)), F.col("arrived"))).alias("since"), F.lit(True).alias("present"))
     by_period = refs.groupBy("key", "period").agg(F.min("arrived").alias("arrived"))
-    keys = by_period.select("key", F.lit(None).cast("boolean").alias("present"), F.lit(None).cast("boolean").alias("live"), F.lit(None).cast("timestamp").alias("since")).unionByName(by_key.select("key", "present", "live", F.col("since").cast("timestamp")))
+    nothing = [F.lit(None).cast(by_key.schema[c].dataType).alias(c) for c in ("present", "live", "since")]
+    keys = by_period.select("key", *nothing).unionByName(by_key.select("key", "present", "live", "since"))
     merged = keys.groupBy("key").agg(F.max("present").alias("present"), F.max("live").alias("live"), F.min("since").alias("since"))
     dictionary = cut(encode(merged, refs.count() + targets.count()))
     coded = by_period.join(dictionary, "key")
