@@ -169,10 +169,11 @@ class InstantDictionary:
 def normalise(rows: DataFrame, raw: str, zone: str, dictionary: InstantDictionary) -> DataFrame:
     """rows with the column utc_us, through the dictionary; null text gives null.
 
-    raw and zone name text columns; a null zone is UTC. A hot text is one row of
+    raw and zone name text columns; a null zone is UTC. A utc_us that rows
+    already have is replaced. A hot text is one row of
     the dictionary, so adaptive execution can split its rows over many tasks.
     """
-    keyed = rows.withColumn("__raw", F.col(raw)).withColumn("__zone", F.when(needs_zone(F.col(raw)), F.coalesce(F.col(zone), F.lit(""))).otherwise(""))
+    keyed = rows.drop("utc_us").withColumn("__raw", F.col(raw)).withColumn("__zone", F.when(needs_zone(F.col(raw)), F.coalesce(F.col(zone), F.lit(""))).otherwise(""))
     known = dictionary.extend(keyed.where("__raw IS NOT NULL").select(F.col("__raw").alias("raw"), F.col("__zone").alias("zone")))
     known = known.select(F.col("raw").alias("__raw"), F.col("zone").alias("__zone"), "utc_us")
     return keyed.join(known, ["__raw", "__zone"], "left").drop("__raw", "__zone")

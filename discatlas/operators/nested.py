@@ -245,11 +245,12 @@ def entities(adjacency: DataFrame, label: str, fields: dict[str, str]) -> DataFr
 
     One row per element: key, node_path, parent_path, ordinal and a column for
     each of fields (name -> SQL type) from its scalar children; a field that is
-    absent, null, nested or not of the type is null. The join is on document and
+    absent, null, nested or not of the type is null; a field named like one of the
+    first four columns comes out as field_<name>. The join is on document and
     node, so a document of any size is spread over the tasks.
     """
     rows = objects(adjacency).where(F.col("label") == label).select("key", "node", "ordinal", F.col("path").alias("node_path"), F.col("owner").alias("parent_path"))
     children = adjacency.where(F.col("scalar").isNotNull() & F.col("label").isin(list(fields)) & F.col("ordinal").isNull()).select("key", F.col("parent").alias("node"), F.col("label").alias("field"), "scalar")
     picked = children.groupBy("key", "node").agg(*(F.max(F.when(F.col("field") == name, F.col("scalar"))).alias(f"__{i}") for i, name in enumerate(fields)))
     joined = rows.join(picked, ["key", "node"], "left")
-    return joined.select("key", "node_path", "parent_path", "ordinal", *(F.col(f"__{i}").try_cast(kind).alias(name) for i, (name, kind) in enumerate(fields.items())))
+    return joined.select("key", "node_path", "parent_path", "ordinal", *(F.col(f"__{i}").try_cast(kind).alias(f"field_{name}" if name in ("key", "node_path", "parent_path", "ordinal") else name) for i, (name, kind) in enumerate(fields.items())))

@@ -104,7 +104,7 @@ def orphans(refs: DataFrame, targets: DataFrame) -> DataFrame:
     late. Several targets under one key count together. Either table may be
     empty.
     """
-    refs = refs.where("key IS NOT NULL")
+    refs = refs.select("row_id", "key", "period", "arrived").where("key IS NOT NULL")
     by_key = targets.where("key IS NOT NULL").groupBy("key").agg(F.max(F.when(~F.coalesce("deleted", F.lit(False)), F.lit(True))).alias("live"), F.min(F.when(~F.coalesce("deleted", F.lit(False)), F.col("arrived"))).alias("since"), F.lit(True).alias("present"))
     by_period = refs.groupBy("key", "period").agg(F.min("arrived").alias("arrived"))
     nothing = [F.lit(None).cast(by_key.schema[c].dataType).alias(c) for c in ("present", "live", "since")]
