@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
 #: Folder of the installed vocabularies and the file of the default one; both are parameters everywhere.
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -23,9 +24,33 @@ def encoding(path: str):
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(text: str, path: str) -> list[int]:
-    """Token ids of text read as ordinary text."""
-    return encoding(path).encode_ordinary(text)
+#: Runs of white space from this length are encoded apart: the pattern's search backtracks over them and gives up beyond a million.
+LONG_RUN = 100_000
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+@functools.lru_cache(maxsize=4)
+def _long_runs(length: int) -> re.Pattern:
+    return re.compile(f"{_SPACE}{{{length},}}")
+
+
+def encode(text: str, path: str, long_run: int = LONG_RUN) -> list[int]:
+    """Token ids of text read as ordinary text.
+
+    Of a run of white space the pattern takes all but the last character as one
+    piece, or all of it at the end of the text. Cutting there changes nothing.
+    """
+    enc = encoding(path)
+    if len(text) < long_run or not (found := _long_runs(long_run).search(text)):
+        return enc.encode_ordinary(text)
+    out, at = [], 0
+    while found:
+        end = found.end() if found.end() == len(text) else found.end() - 1
+        out += enc.encode_ordinary(text[at : found.start()])
+        out += enc._encode_single_piece(text[found.start() : end])
+        at = end
+        found = _long_runs(long_run).search(text, end)
+    return out + enc.encode_ordinary(text[at:])
 
 
 def offsets(ids: list[int], path: str) -> list[int]:
