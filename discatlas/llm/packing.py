@@ -73,14 +73,23 @@ def fill(sizes: list[int], capacity: int) -> list[list[int]]:
         return []
     if max(sizes) > capacity:
         raise ValueError("an item exceeds the capacity")
-    ways = max(1, math.ceil(sum(sizes) / capacity), sum(2 * s > capacity for s in sizes))
-    tries = 0
-    while True:
+    def attempt(ways: int) -> list[list[int]] | None:
         groups = difference(sizes, ways)
-        if max(sum(sizes[i] for i in g) for g in groups) <= capacity:
-            return groups
-        tries += 1
-        ways += 1 if tries < 6 else max(1, ways // 50)
+        return groups if max(sum(sizes[i] for i in g) for g in groups) <= capacity else None
+
+    # The number rises in growing steps until it is enough, then the last step is halved down.
+    short = max(1, math.ceil(sum(sizes) / capacity), sum(2 * s > capacity for s in sizes)) - 1
+    step = 1
+    while (found := attempt(short + step)) is None:
+        short, step = short + step, step * 2
+    enough = short + step
+    while enough - short > 1:
+        middle = (short + enough) // 2
+        if (better := attempt(middle)) is None:
+            short = middle
+        else:
+            enough, found = middle, better
+    return found
 
 
 def sized_pieces(documents: DataFrame, capacity: int, doc_id: str, text: str, vocabulary: str) -> DataFrame:
@@ -116,7 +125,7 @@ def sized_pieces(documents: DataFrame, capacity: int, doc_id: str, text: str, vo
     return documents.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, piece_no int, token_start int, n_tokens int")
 
 
-def pack(documents: DataFrame, capacity: int = 2048, per_window: int = 128, doc_id: str = "doc_id", text: str = "text", vocabulary: str = f"{tokens.TOKENIZER_DIR}/{tokens.VOCABULARY}") -> DataFrame:
+def pack(documents: DataFrame, capacity: int = 2048, per_window: int = 512, doc_id: str = "doc_id", text: str = "text", vocabulary: str = f"{tokens.TOKENIZER_DIR}/{tokens.VOCABULARY}") -> DataFrame:
     """Container and position of each document or piece.
 
     Columns: container_id, position and offset in it, doc_id, piece_no,
