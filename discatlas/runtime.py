@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -56,3 +59,19 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, so that their Python finds it wherever it was started."""
+    context = spark.sparkContext
+    if getattr(context, "_discatlas_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    # Executors fetch it from the driver whenever they start, so it lives as long as the application.
+    archive = Path(SparkFiles.getRootDirectory(), "packages", "discatlas.zip")
+    archive.parent.mkdir(exist_ok=True)
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._discatlas_shipped = True
