@@ -87,3 +87,22 @@ def stamp_of_load(load: Column | str, execute: Column | str) -> Column:
     low, high = F.conv(_col(execute), 16, 10).try_cast("long"), F.conv(_col(load), 16, 10).try_cast("long")
     ticks = F.shiftleft(high.bitwiseAND(0xFF), 32) + low
     return F.when(F.shiftright(high, 20) == 0xFFF, ticks * 10_000 - 2_208_988_800_000_000)
+
+
+# Media kinds by extension, and those that browsers play.
+MEDIA = {"wav": "audio", "mp3": "audio", "ogg": "audio", "flac": "audio", "mod": "audio", "avi": "video", "mov": "video", "mpg": "video", "mp4": "video", "webm": "video", "rpl": "video", "bmp": "image", "png": "image", "gif": "image", "jpg": "image", "jpeg": "image"}
+PLAYABLE = ("wav", "mp3", "ogg", "mp4", "webm", "png", "gif", "jpg", "jpeg")
+# Numbers of the best-known moving-picture codecs of ARMovie files.
+CODECS = {"1": "Moving Lines", "7": "Moving Blocks", "17": "Moving Blocks HQ", "19": "Super Moving Blocks"}
+
+
+def media_kind(ext: Column | str) -> Column:
+    return lookup(MEDIA, F.lower(_col(ext)))
+
+
+def is_playable(ext: Column | str) -> Column:
+    return F.coalesce(F.lower(_col(ext)).isin(*PLAYABLE), F.lit(False))
+
+
+def codec_name(number: Column | str) -> Column:
+    return F.coalesce(lookup(CODECS, _col(number).cast("string")), F.concat(F.lit("codec "), _col(number).cast("string")))

@@ -99,3 +99,23 @@ def like_search(value: str) -> str:
 def like_exact(value: str) -> str:
     """Pattern of a path term: exact unless it has a wildcard."""
     return value.replace("*", "%")
+
+
+def strip_brackets(c: Column | str) -> Column:
+    """Text without bracketed remarks at its end, unless nothing else is left."""
+    return F.when(_col(c).rlike(r"^\s*[\[(]"), _col(c)).otherwise(F.trim(F.regexp_replace(_col(c), r"(?:\s*(?:\([^()]*\)|\[[^\[\]]*\]))+\s*$", "")))
+
+
+def path_label(path: Column | str) -> Column:
+    """Label of a path: its last segment without extension, after its folder where the segment is a plain number or 'disc n'."""
+    parts = F.filter(F.split(_col(path), "/"), lambda s: s != "")
+    base = F.regexp_replace(F.element_at(parts, -1), r"\.[A-Za-z0-9]{1,4}$", "")
+    vague = base.rlike(r"(?i)^(?:(?:disc|disk|cd|side)\s*)?[0-9]+$") & (F.size(parts) > 1)
+    return F.when(F.size(parts) > 0, F.when(vague, F.concat_ws(" ", F.get(parts, F.size(parts) - 2), base)).otherwise(base))
+
+
+def storage_key(sha256: Column | str, name: Column | str, most_bytes: int = 120) -> Column:
+    """Content-addressed key aa/bb/<hash>-<name>, of characters that every store takes, at most so many bytes of name."""
+    digest = F.lower(_col(sha256))
+    safe = F.substring(F.regexp_replace(F.coalesce(_col(name), F.lit("")), "[^A-Za-z0-9._-]", "_"), 1, most_bytes)
+    return F.when(digest.rlike("^[0-9a-f]{64}$"), F.concat_ws("/", F.substring(digest, 1, 2), F.substring(digest, 3, 2), F.concat_ws("-", digest, F.nullif(safe, F.lit("")))))
