@@ -49,3 +49,15 @@ def hash_matches(c: Column | str, value: str, length: int) -> Column:
     """Equality with a whole hash, prefix search with a shorter one; % and _ in the value are live."""
     value = value.strip().lower()
     return _col(c) == value if len(value) >= length else _col(c).ilike(f"{value}%")
+
+
+def set_fingerprint(entry: Column | str) -> Column:
+    """Aggregate: digest of a set of distinct texts, whatever their order; nulls count for nothing.
+
+    Made of their number, the exclusive or of one half and the sum of the other
+    half of their md5 (60 bits each), so its state is three numbers and a set of
+    any size is combined by partial aggregation.
+    """
+    digest = F.md5(_col(entry))
+    one, two = (F.conv(F.substring(digest, at, 15), 16, 10).cast("long") for at in (1, 16))
+    return F.md5(F.concat_ws(":", F.count(_col(entry)), F.bit_xor(one), F.sum(two.cast("decimal(20,0)")).cast("string")))

@@ -7,9 +7,10 @@ round is two equi-joins and is written to the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from discatlas.operators.ranking import running
 from discatlas.runtime import cut
 
 MAX_ROUNDS = 20
@@ -73,7 +74,7 @@ def depth_first(nodes: DataFrame, label: str, key: str = "id", parent: str = "pa
     step = F.struct((-F.col("distance")).alias("d"), "name", F.col("ancestor").alias("k"))
     paths = above.join(named, "ancestor").groupBy("node").agg(F.sort_array(F.collect_list(step)).alias("steps"))
     ordered = paths.select("node", (F.size("steps") - 1).alias("depth"), F.transform("steps", lambda s: F.struct(s["name"], s["k"])).alias("path"))
-    return ordered.select("node", "depth", F.row_number().over(Window.orderBy("path")).alias("position"))
+    return running(ordered, [F.col("path").asc()], F.lit(1).cast("long"), "position").select("node", "depth", "position")
 
 
 def worst_status(rows: DataFrame, owner_roots: DataFrame, order: list[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from discatlas.functions import hashes
+
 
 def link(files: DataFrame, known: DataFrame) -> DataFrame:
     """Lowest known file of equal md5 and lenient size of each file: file_id, known_id.
@@ -57,7 +59,7 @@ def recognise(files: DataFrame, known: DataFrame) -> DataFrame:
 def fingerprint(files: DataFrame, keys: list[str], entry: Column) -> DataFrame:
     """Digest of the set of entries per key, whatever their order: keys, n_files, fingerprint."""
     distinct = files.select(*keys, entry.alias("entry")).where("entry IS NOT NULL").distinct()
-    return distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"), F.md5(F.array_join(F.sort_array(F.collect_list("entry")), ",")).alias("fingerprint"))
+    return distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"), hashes.set_fingerprint("entry").alias("fingerprint"))
 
 
 def uniqueness(files: DataFrame, content: str, places: list[str]) -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from discatlas.functions import paths
+from discatlas.functions import hashes, paths
+from discatlas.operators.ranking import running
 
 CAP = 50
 FLOOR = 0.10
@@ -86,7 +87,7 @@ def components(files: DataFrame, most_depth: int = 4, least_files: int = 2, most
     below = files.where("h IS NOT NULL AND size > 0").select("owner", "h", "size", F.explode(paths.ancestors("path", most_depth)).alias("root"))
     distinct = below.groupBy("owner", "root", "h").agg(F.min("size").alias("size"))
     entry = F.concat_ws(":", "h", F.col("size").cast("string"))
-    built = distinct.groupBy("owner", "root").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("n_bytes"), F.md5(F.array_join(F.sort_array(F.collect_list(entry)), ",")).alias("fingerprint"))
+    built = distinct.groupBy("owner", "root").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("n_bytes"), hashes.set_fingerprint(entry).alias("fingerprint"))
     sized = built.where(F.col("n_files") >= least_files).withColumn("depth", paths.depth("root"))
     first = Window.partitionBy("owner", "fingerprint").orderBy("depth", "root")
     rank = Window.partitionBy("owner").orderBy(F.desc("n_files"), "root")
@@ -104,15 +105,14 @@ def nearest_rank(n: Column, percent: float) -> Column:
 def distribution(values: DataFrame, value: str, percents: tuple[float, ...] = (50, 90, 95, 99, 100)) -> DataFrame:
     """One row: n, total, mean and a column pNN per percentile, over the non-null values; of none, n is 0 and the rest null.
 
-    Ranks come from counts per distinct value, so only as many rows are ordered
-    as there are different values.
+    Ranks come from a running total of the counts per distinct value.
     """
     counted = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    order = Window.orderBy("v")
-    running = counted.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    picks = [F.min(F.when(F.col("upto") >= nearest_rank(F.col("n"), p), F.col("v"))).alias(f"p{int(p)}") for p in percents]
+    upto = running(counted, [F.col("v").asc()], F.col("c"), "upto")
+    n = F.lit(upto.agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]).cast("long")
+    picks = [F.min(F.when(F.col("upto") >= nearest_rank(n, p), F.col("v"))).alias(f"p{int(p)}") for p in percents]
     total = F.sum(F.col("v") * F.col("c"))
-    return running.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), total.alias("total"), (total / F.sum("c")).alias("mean"), *picks)
+    return upto.agg(n.alias("n"), total.alias("total"), (total / F.sum("c")).alias("mean"), *picks)
 
 
 def histogram(values: DataFrame, value: str, edges: tuple[float, ...]) -> DataFrame:

@@ -175,7 +175,7 @@ def ana05_failures_of_trees(c: Catalogue) -> DataFrame:
     return c.analyses.select("artefact_id", "status").join(tops, "artefact_id").groupBy("root_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "FAILED").alias("failed"))
 
 
-@R.query(" SELECT id AS file_id, replace(replace(translate(filename, '#$^&%@?/.', '?<>+;=#./'), '', ''), '', '') AS dos_name FROM f WHERE filename IS NOT NULL")
+@R.query(" SELECT id AS file_id, translate(filename, '#$^&%@?/.', '?<>+;=#./') AS dos_name FROM f WHERE filename IS NOT NULL")
 def fun10_dos_names(c: Catalogue) -> DataFrame:
     """File names as a DOS file system writes them."""
     return c.files_of("filename").where("filename IS NOT NULL").select(F.col("id").alias("file_id"), paths.translate_name("filename").alias("dos_name"))

@@ -88,7 +88,7 @@ def agg34_uniqueness(c: Catalogue) -> DataFrame:
     return known.uniqueness(_apps(c), "md5", ["partition_id", "app"])
 
 
-@R.query(KNOWN + ", e AS (SELECT DISTINCT product, partition_id, app, rel_path || '=' || md5 AS e FROM rel) SELECT product, partition_id, app, count(*) AS n_files, md5(string_agg(e, ',' ORDER BY e)) AS fingerprint FROM e GROUP BY ALL")
+@R.query(KNOWN + ", e AS (SELECT DISTINCT product, partition_id, app, rel_path || '=' || md5 AS e FROM rel) SELECT product, partition_id, app, count(*) AS n_files, md5(count(e) || ':' || bit_xor(('0x' || substr(md5(e), 1, 15))::BIGINT) || ':' || sum(('0x' || substr(md5(e), 16, 15))::BIGINT)::HUGEINT) AS fingerprint FROM e GROUP BY ALL")
 def agg35_app_fingerprints(c: Catalogue) -> DataFrame:
     """Fingerprint of every copy of an application."""
     return known.fingerprint(_apps(c), ["product", "partition_id", "app"], F.concat_ws("=", "rel_path", "md5"))

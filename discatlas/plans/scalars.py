@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from discatlas.catalog import Catalogue, Registry
 from discatlas.functions import formats, hashes, paths, text
+from discatlas.operators.ranking import numbered
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -21,11 +22,8 @@ def fun01_item_slugs(c: Catalogue) -> DataFrame:
 @R.query(r""", s AS (SELECT id, parent_id, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(name), '[\s_/]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), 200), '-+$', '', 'g'), ''), 'untitled') AS slug FROM i), n AS (SELECT *, row_number() OVER (PARTITION BY coalesce(parent_id, -1), slug ORDER BY id) AS k FROM s) SELECT id AS item_id, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS slug FROM n""")
 def fun02_numbered_slugs(c: Catalogue) -> DataFrame:
     """Slugs numbered by id where siblings share one."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(F.coalesce("parent_id", F.lit(-1)), "slug").orderBy("id")
-    numbered = c.items.select("id", "parent_id", text.slug("name").alias("slug")).withColumn("k", F.row_number().over(order))
-    return numbered.select(F.col("id").alias("item_id"), F.when(F.col("k") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("k").cast("string"))).alias("slug"))
+    rows = numbered(c.items.select("id", "parent_id", text.slug("name").alias("slug")), ["parent_id", "slug"], [F.col("id").asc()], "k")
+    return rows.select(F.col("id").alias("item_id"), F.when(F.col("k") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("k").cast("string"))).alias("slug"))
 
 
 @R.query("SELECT id AS blob_id, nullif(lower(trim(sha256)), '') AS sha256, nullif(lower(trim(md5)), '') AS md5 FROM b")

@@ -94,7 +94,7 @@ def agg04_idf_jaccard(c: Catalogue) -> DataFrame:
 COMPONENTS = """, cf AS (SELECT partition_id AS owner, path, md5 AS h, file_size AS size, string_split(path, '/') AS parts FROM f WHERE NOT is_directory AND md5 IS NOT NULL AND file_size > 0 AND partition_id IS NOT NULL),
 ce AS (SELECT owner, h, size, array_to_string(parts[1:k], '/') AS root FROM cf, unnest(range(1, least(len(parts) - 1, 4) + 1)) AS t(k)),
 cd AS (SELECT owner, root, h, min(size) AS size FROM ce GROUP BY ALL),
-cb AS (SELECT owner, root, count(*) AS n_files, sum(size)::BIGINT AS n_bytes, md5(string_agg(h || ':' || size, ',' ORDER BY h || ':' || size)) AS fingerprint, len(string_split(root, '/')) AS depth FROM cd GROUP BY owner, root HAVING count(*) >= 2),
+cb AS (SELECT owner, root, count(*) AS n_files, sum(size)::BIGINT AS n_bytes, md5(count(h || ':' || size) || ':' || bit_xor(('0x' || substr(md5(h || ':' || size), 1, 15))::BIGINT) || ':' || sum(('0x' || substr(md5(h || ':' || size), 16, 15))::BIGINT)::HUGEINT) AS fingerprint, len(string_split(root, '/')) AS depth FROM cd GROUP BY owner, root HAVING count(*) >= 2),
 co AS (SELECT * FROM (SELECT * FROM cb QUALIFY row_number() OVER (PARTITION BY owner, fingerprint ORDER BY depth, root) = 1) QUALIFY row_number() OVER (PARTITION BY owner ORDER BY n_files DESC, root) <= 500)"""
 
 
