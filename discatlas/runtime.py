@@ -12,6 +12,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
 
 
 def session(app: str = "discatlas", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,7 +62,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ship(spark: SparkSession) -> None:
+def prepare(spark: SparkSession) -> None:
+    """Make a session fit for the engine: generated code of compilable size, and this package on the workers."""
+    # The JVM doesn't compile methods over 8,000 bytes of bytecode; wide projections then run interpreted.
+    if spark.conf.get(HUGE_METHOD, "65535") == "65535":
+        spark.conf.set(HUGE_METHOD, "8000")
+    _ship(spark)
+
+
+def _ship(spark: SparkSession) -> None:
     """Send this package to the workers, once per application, so that their Python finds it wherever it was started."""
     context = spark.sparkContext
     if getattr(context, "_discatlas_shipped", False):
