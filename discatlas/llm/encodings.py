@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from discatlas.runtime import cut
+
 # The encodings between which text may have been misread.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866")
 WRITTEN_AS = ("utf-8", *READ_AS)
@@ -305,7 +307,7 @@ def restore(df: DataFrame, key: str, fields: list[str], support: int = 2) -> Dat
     only lost characters are reported.
     """
     kind = df.schema[key].dataType.simpleString()
-    names = distinct_names(df, fields)
+    names = cut(distinct_names(df, fields))
     model = learn_model(names)
     shared = df.sparkSession.sparkContext.broadcast(Restorer(model, learn_chains(names, model, support)))
 
@@ -313,11 +315,11 @@ def restore(df: DataFrame, key: str, fields: list[str], support: int = 2) -> Dat
         restorer = shared.value
         for batch in batches:
             parts = []
-            for field in fields:
-                found = batch[field].map(restorer.field, na_action="ignore")
+            for i, field in enumerate(fields):
+                found = batch[f"field_{i}"].map(restorer.field, na_action="ignore")
                 hit = found.notna()
                 parts.append(pd.DataFrame({"key": batch.loc[hit, "key"], "field_name": field, "restored": found[hit]}))
             yield pd.concat(parts)
 
-    wanted = df.select(F.col(key).alias("key"), *fields)
+    wanted = df.select(F.col(key).alias("key"), *(F.col(f).alias(f"field_{i}") for i, f in enumerate(fields)))
     return wanted.mapInPandas(run, f"key {kind}, field_name string, restored string")
