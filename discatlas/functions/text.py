@@ -119,3 +119,25 @@ def storage_key(sha256: Column | str, name: Column | str, most_bytes: int = 120)
     digest = F.lower(_col(sha256))
     safe = F.substring(F.regexp_replace(F.coalesce(_col(name), F.lit("")), "[^A-Za-z0-9._-]", "_"), 1, most_bytes)
     return F.when(digest.rlike("^[0-9a-f]{64}$"), F.concat_ws("/", F.substring(digest, 1, 2), F.substring(digest, 3, 2), F.concat_ws("-", digest, F.nullif(safe, F.lit("")))))
+
+
+# Media types by extension, for keys of a store.
+MIME = {"txt": "text/plain", "html": "text/html", "json": "application/json", "png": "image/png", "gif": "image/gif", "jpg": "image/jpeg", "wav": "audio/wav", "mp4": "video/mp4", "zip": "application/zip"}
+
+
+def mime_type(key: Column | str) -> Column:
+    ext = F.lower(F.regexp_extract(_col(key), r"\.([A-Za-z0-9]+)$", 1))
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in MIME.items() for x in pair)), ext), F.lit("application/octet-stream"))
+
+
+def valid_key(key: Column | str) -> Column:
+    """Whether a storage key is safe: relative, without empty, '.' or '..' segments, control characters or backslashes."""
+    c = _col(key)
+    return F.coalesce((c != "") & ~c.rlike(r"(?:^|/)(?:\.{0,2})(?:/|$)") & ~c.rlike(r"[\x00-\x1f\\\\]"), F.lit(False))
+
+
+def latin1_repair(c: Column | str) -> Column:
+    """Text whose characters 0x80-0x9F were left as control characters, read as the code page that has letters there."""
+    table = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+    keep = [(chr(0x80 + i), t) for i, t in enumerate(table) if t != "\ufffd"]
+    return F.translate(_col(c), "".join(a for a, _ in keep), "".join(b for _, b in keep))

@@ -73,3 +73,21 @@ def spelling(rows: DataFrame, key: Column, spelled: str) -> DataFrame:
     counted = rows.select(key.alias("key"), F.col(spelled).alias("spelling")).groupBy("key", "spelling").agg(F.count(F.lit(1)).alias("n"))
     first = Window.partitionBy("key").orderBy(F.desc("n"), "spelling")
     return counted.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+
+
+def classify(known: DataFrame) -> DataFrame:
+    """What can be recognised of each product: product, n_required, n_optional, reason (null if it can be recognised)."""
+    counted = known.groupBy("product").agg(F.count_if("required").alias("n_required"), F.count_if(~F.col("required")).alias("n_optional"), F.count_if(F.col("required") & F.col("md5").isNull()).alias("unhashed"))
+    reason = F.when(F.col("n_required") == 0, "no required file").when(F.col("unhashed") > 0, "a required file has no hash")
+    return counted.select("product", "n_required", "n_optional", reason.alias("reason"))
+
+
+def canonical_source(names: DataFrame, name: str, rules: list[tuple[str, str]]) -> DataFrame:
+    """names with the source of the first rule (pattern, source) whose anchored pattern fits, ignoring case; null if none does.
+
+    Rules are a short list of the user's; they become one expression.
+    """
+    source = F.lit(None).cast("string")
+    for pattern, value in reversed(rules):
+        source = F.when(F.col(name).rlike(f"(?i)^(?:{pattern})$"), F.lit(value)).otherwise(source)
+    return names.withColumn("source", source)

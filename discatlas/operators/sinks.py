@@ -48,3 +48,25 @@ def nested_json(known: DataFrame) -> DataFrame:
     rest = [c for c in known.columns if c != "product"]
     files = F.sort_array(F.collect_list(F.struct("id", *(c for c in rest if c != "id"))))
     return known.groupBy("product").agg(files.alias("files")).select("product", F.to_json(F.struct(F.lit(1).alias("schema_version"), "product", "files")).alias("json"))
+
+
+def reassign(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
+    """rows with a reference replaced where the mapping (old, new) has another: the column and whether it changed."""
+    joined = rows.join(mapping.where("old != new").select(F.col("old").alias(column), F.col("new").alias("__new")), column, "left")
+    return joined.withColumn("changed", F.col("__new").isNotNull()).withColumn(column, F.coalesce("__new", column)).drop("__new")
+
+
+def nested_paths(files: DataFrame) -> DataFrame:
+    """Members of archives with the archive's path in front: id, parent_file_id, full_path. A member whose path already begins with it keeps it."""
+    archives = files.select(F.col("id").alias("parent_file_id"), F.col("path").alias("__outer"))
+    joined = files.where("parent_file_id IS NOT NULL").join(archives, "parent_file_id")
+    full = F.when(F.col("path").startswith(F.concat("__outer", F.lit("/"))), F.col("path")).otherwise(F.concat_ws("/", "__outer", "path"))
+    return joined.select("id", "parent_file_id", full.alias("full_path"))
+
+
+def children_json(parents: DataFrame, children: DataFrame, key: str, reference: str, name: str) -> DataFrame:
+    """Each parent row as JSON text with its children in an array, in order of their id: key, json."""
+    rest = [c for c in children.columns if c not in (reference, "id")]
+    grouped = children.groupBy(F.col(reference).alias(key)).agg(F.sort_array(F.collect_list(F.struct("id", *rest))).alias(name))
+    joined = parents.join(grouped, key, "left")
+    return joined.select(key, F.to_json(F.struct(*parents.columns, F.coalesce(name, F.array().cast(grouped.schema[name].dataType)).alias(name))).alias("json"))
