@@ -238,6 +238,15 @@ def flt11_modules_with_commands(c: Catalogue) -> DataFrame:
     return found.groupBy(F.col("key").alias("analysis_id"), F.col("owner").alias("module_path")).agg(F.count(F.lit(1)).alias("n_commands"))
 
 
+@R.query(VALID + """, mo AS (SELECT id, CASE json_type(j -> 'modules') WHEN 'ARRAY' THEN from_json(j -> 'modules', '["JSON"]') WHEN 'OBJECT' THEN [j -> 'modules'] END AS arr FROM dj), me AS (SELECT id, unnest(arr) AS m FROM mo WHERE arr IS NOT NULL),
+sw AS (SELECT id, unnest(from_json(m -> 'swi_names', '["JSON"]')) AS x FROM me WHERE json_type(m) = 'OBJECT' AND json_type(m -> 'swi_names') = 'ARRAY') SELECT id AS analysis_id, count(*) AS n FROM sw WHERE (x ->> '$') ILIKE '%swi8%' GROUP BY id""")
+def flt05_json_elements(c: Catalogue) -> DataFrame:
+    """Analyses one of whose modules offers a call by part of the name: elements of JSON arrays, not text of the JSON."""
+    adjacency = nested.shred(c.analyses.select("id", "details"), "id", "details")
+    found = adjacency.where((F.col("label") == "swi_names") & F.col("ordinal").isNotNull() & F.col("scalar").ilike(text.like_search("swi8")))
+    return found.groupBy(F.col("key").alias("analysis_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @R.query(" SELECT id AS artefact_id, CASE WHEN owner_id IN (SELECT id FROM u WHERE deleted_at IS NOT NULL) THEN NULL ELSE owner_id END AS owner_id FROM a")
 def pip13_owners_released(c: Catalogue) -> DataFrame:
     """Artefacts with their owner, none where the user was removed."""

@@ -29,6 +29,8 @@ def test_query(spark, oracle, name):
     df = entry.queries()[name](spark, DATA)
     rows = df.collect()
     assert len(set(df.columns)) == len(df.columns)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     sql = entry.oracle_sql().get(name)
     if sql:
         expected = oracle.execute(sql)
