@@ -87,11 +87,17 @@ def p5_key_profile(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+#: Flat tables that are made of the analyses' details, with their fields.
+ENTITIES = {
+    "partitions": {"index": "int", "filesystem": "string", "label": "string"},
+    "entries": {"name": "string", "size": "long"},
+    "modules": {"title_string": "string", "file_path": "string", "hash": "string", "version": "string"},
+    "indicators": {"type": "string", "track": "int", "sector_id": "string"},
+    "chunks": {"offset": "long", "bytes": "long"},
+}
 QUERIES = {
     "p2_found": p2_found,
-    "p2_partitions": _entities("partitions", {"index": "int", "filesystem": "string", "label": "string"}),
-    "p2_entries": _entities("entries", {"name": "string", "size": "long"}),
-    "p2_modules": _entities("modules", {"title_string": "string", "file_path": "string", "hash": "string", "version": "string"}),
+    **{f"p2_{label}": _entities(label, fields) for label, fields in ENTITIES.items()},
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_report": p4_report,
@@ -123,7 +129,33 @@ WITH profile AS (
   UNION ALL
   SELECT 'upload_blobs', 'md5', md5, count(*), CAST(sum(file_size) AS BIGINT), count(DISTINCT file_size) FROM upload_blobs GROUP BY md5)
 """
+_LONE = ", ".join(f"'{k}'" for k in nested.LONE_KEYS)
+_P2 = f"""
+WITH RECURSIVE an AS ({_FIRST.format("analyses", "id")}),
+d AS (SELECT id AS aid, CASE WHEN json_valid(details) THEN CASE WHEN json_type(details) = 'VARCHAR' THEN CASE WHEN json_valid(details ->> '$') THEN (details ->> '$')::JSON END ELSE details::JSON END END AS j FROM an WHERE details IS NOT NULL),
+t AS (SELECT d.aid, jt.id AS nid, jt.parent, jt.key, jt.type, jt.atom FROM d, json_tree(d.j) AS jt WHERE d.j IS NOT NULL),
+r(aid, nid, type, path, owner, element, label, ordinal) AS (
+  SELECT aid, nid, type, '$', '$', false, '$', NULL::INTEGER FROM t WHERE parent IS NULL
+  UNION ALL
+  SELECT c.aid, c.nid, c.type,
+    p.path || CASE WHEN p.type = 'ARRAY' THEN '[' || c.key || ']' ELSE '.' || c.key || CASE WHEN c.type = 'OBJECT' AND c.key IN ({_LONE}) THEN '[0]' ELSE '' END END,
+    CASE WHEN p.element THEN p.path ELSE p.owner END,
+    p.type = 'ARRAY' OR (c.type = 'OBJECT' AND c.key IN ({_LONE})),
+    CASE WHEN p.type = 'ARRAY' THEN p.label ELSE c.key END,
+    CASE WHEN p.type = 'ARRAY' THEN c.key::INTEGER WHEN c.type = 'OBJECT' AND c.key IN ({_LONE}) THEN 0 END
+  FROM r p JOIN t c ON c.aid = p.aid AND c.parent = p.nid)
+"""
+
+
+def _entity_sql(label: str, fields: dict[str, str]) -> str:
+    kinds = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT"}
+    picked = ", ".join(f"TRY_CAST(max(CASE WHEN c.key = '{f}' AND c.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN c.atom ->> '$' END) AS {kinds[k]}) AS {f}" for f, k in fields.items())
+    return _P2 + f"SELECT r.aid AS analysis_id, r.path AS node_path, r.owner AS parent_path, r.ordinal, {picked} FROM r LEFT JOIN t c ON c.aid = r.aid AND c.parent = r.nid WHERE r.element AND r.type = 'OBJECT' AND r.label = '{label}' GROUP BY ALL"
+
+
 ORACLE = {
+    "p2_found": _P2 + "SELECT aid AS analysis_id, path AS node_path, owner AS parent_path FROM r WHERE element AND type = 'OBJECT'",
+    **{f"p2_{label}": _entity_sql(label, fields) for label, fields in ENTITIES.items()},
     "p4_found": _P4 + "SELECT table_name, row_id, period, state FROM judged WHERE state IS NOT NULL",
     "p4_report": _P4 + "SELECT table_name, period, state, count(*) AS n_refs FROM judged WHERE state IS NOT NULL GROUP BY ALL",
     "p5_found": _P5 + """SELECT table_name, field_name, key_value FROM profile WHERE key_value IS NOT NULL
