@@ -20,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from discatlas.runtime import cut
 
 #: Fixed value: odd multiplier of the hash family (golden ratio of 2**64).
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Sets of more values than this are not sorted in one task.
+SMALL = 10_000
 
 
 def depth_for(similarity: float, trees: int, recall: float) -> int:
@@ -109,14 +111,26 @@ def similar_classes(members: DataFrame, similarity: float, trees: int = 32, reca
     inside = members.join(crowded, ["group", "set"])
     rarity = inside.groupBy("group", "vh").agg(F.count(F.lit(1)).alias("df"))
     ranked = inside.join(rarity, ["group", "vh"]).withColumn("rank", F.shiftleft(F.least("df", F.lit(1 << 30)), 32) + F.col("vh").bitwiseAND(0xFFFFFFFF))
-    # The prefix has n - ceil(t n) + 1 values: at most a share 1 - t + 1 / n of them; quantiles give a little more.
-    shares = [min(1.0, 1 - similarity + 0.02), min(1.0, 1 - similarity + 0.27), 1.0]
-    limits = ranked.groupBy("group", "set").agg(F.percentile_approx("rank", shares, 10_000).alias("at"), F.max("n").alias("size")).select("group", "set", F.when(F.col("size") >= 100, F.col("at")[0]).when(F.col("size") >= 4, F.col("at")[1]).otherwise(F.col("at")[2]).alias("limit"))
-    rare = ranked.join(limits, ["group", "set"]).where("rank <= limit").select("group", "set", "n", F.xxhash64("group", "vh").alias("prefix"))
-    candidates = pairs.unionByName(_pair(rare, "prefix", similarity)).distinct()
+    candidates = pairs.unionByName(_pair(_prefixes(ranked, similarity), "prefix", similarity)).distinct()
     return verify(candidates, members, similarity)
 
 
+def _prefixes(ranked: DataFrame, similarity: float) -> DataFrame:
+    """The n - ceil(t n) + 1 rarest values of every set: group, set, n, prefix.
+
+    Two sets of that similarity share one of them. Sets of at most SMALL values
+    are ranked in a window; of larger ones a quantile, whose state is bounded,
+    bounds the rank from above.
+    """
+    order = Window.partitionBy("group", "set").orderBy("rank", "vh")
+    wanted = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)) + 1
+    small = ranked.where(F.col("n") <= SMALL).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= wanted)
+    large = ranked.where(F.col("n") > SMALL)
+    limits = large.groupBy("group", "set").agg(F.percentile_approx("rank", min(1.0, 1 - similarity + 0.002), 10_000).alias("limit"))
+    rare = small.select("group", "set", "n", "vh").unionByName(large.join(limits, ["group", "set"]).where("rank <= limit").select("group", "set", "n", "vh"))
+    return rare.select("group", "set", "n", F.xxhash64("group", "vh").alias("prefix"))
+
+
 def _pair(places: DataFrame, key: str, similarity: float) -> DataFrame:
     left = places.select(key, "group", F.col("set").alias("left"), F.col("n").alias("nl"))
     right = places.select(key, F.col("group").alias("group_r"), F.col("set").alias("right"), F.col("n").alias("nr"))

@@ -83,3 +83,20 @@ def test_depth_follows_the_recall():
     assert setpairs.depth_for(0.9, 32, 0.999) == 8
     with pytest.raises(ValueError):
         setpairs.depth_for(0, 8, 0.9)
+
+
+def test_prefixes_of_large_sets(spark, monkeypatch):
+    monkeypatch.setattr(setpairs, "SMALL", 500)
+    rng = random.Random(6)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}-{i}" for i in range(800)]
+        for k in range(4):
+            rows += [("g", family * 10 + k, v) for v in base if rng.random() > 0.1] + [("g", family * 10 + k, f"c{i}") for i in range(100)]
+    assert set(run(spark, rows, crowd=1)) == brute(rows, 0.6, 4)
+
+
+def test_popular_values_make_no_candidates(spark):
+    popular = ["p1", "p2", "p3"]
+    rows = [("g", i, v) for i in range(3000) for v in [*popular, *(f"u{i}-{k}" for k in range(4))]]
+    assert run(spark, rows, crowd=4) == []
