@@ -39,8 +39,9 @@ def tree_merge(df: DataFrame, keys: list[str], first: dict[str, Column], fan_in:
 def key_profile(df: DataFrame, key: str, size: str, member: str, fan_in: int = 32) -> DataFrame:
     """For every key: n_rows, n_bytes and n_members, the exact number of distinct non-null members.
 
-    The first level combines rows to (key, member) states, which spreads a hot
-    key over its members; the tree then merges the states per key. Rows whose
+    Each split is combined to (key, member) states, which meet first in fan_in
+    lanes and then in one place: a hot key is spread over its members, and a hot
+    member over lanes. The tree then merges the states per key. Rows whose
     key is null form one key; null sizes add nothing, so n_bytes is null only
     where every size is.
     """

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from discatlas.operators import similarity, sinks
 
@@ -23,6 +25,35 @@ def sessions(events: DataFrame, at: str, key: str, gap: str = "30 minutes", late
     return grouped.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "key", "n")
 
 
+def presence(events: DataFrame, at: str, key: str, silent: str = "60 seconds", late: str = "10 seconds") -> DataFrame:
+    """Changes of presence: key, state (appeared, gone), at. A key is gone when event time passes its last event by `silent`.
+
+    The state of a key is one timestamp, dropped when it goes; events that the
+    watermark leaves behind count for nothing.
+    """
+    seconds = pd.Timedelta(silent)
+
+    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            (last,) = state.get
+            out.append((name[0], "gone", pd.Timestamp(last, unit="us") + seconds))
+            state.remove()
+        else:
+            times = pd.concat([b["at"] for b in batches])
+            newest = int(times.max().value // 1000)
+            if not state.exists:
+                out.append((name[0], "appeared", times.min()))
+            last = max(newest, state.get[0]) if state.exists else newest
+            state.update((last,))
+            state.setTimeoutTimestamp(max(last // 1000 + int(seconds.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["key", "state", "at"])
+
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.select(F.col(key).alias("key"), F.col(at).alias("at")).where("key IS NOT NULL AND at IS NOT NULL").withWatermark("at", late)
+    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, state string, at timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def first_deliveries(rows: DataFrame, key: str, at: str, late: str = "1 day") -> DataFrame:
     """A stream without deliveries repeated within `late` of the first; the state is bounded by the watermark."""
     return rows.withWatermark(at, late).dropDuplicatesWithinWatermark([key])

@@ -60,3 +60,18 @@ def test_append_new(spark, tmp_path):
     rows = stream(spark, tmp_path, [(2, "d"), (3, "e")], "id long, v string", "rows", 1)
     live.append_new(rows, path, ["id"], check).awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_presence(spark, tmp_path):
+    schema = "who string, ts timestamp"
+    rows = stream(spark, tmp_path, [("a", START), ("b", START), (None, START)], schema, "beats", 1)
+    query = live.presence(rows, "ts", "who").writeStream.outputMode("append").format("memory").queryName("presence").start()
+    try:
+        query.processAllAvailable()
+        for minutes in (0.5, 5, 5.5):
+            stream(spark, tmp_path, [("a", START + timedelta(minutes=minutes))], schema, "beats", 1)
+            query.processAllAvailable()
+        got = [(r["key"], r["state"]) for r in spark.sql("SELECT * FROM presence ORDER BY at, key").collect()]
+    finally:
+        query.stop()
+    assert got[:2] == [("a", "appeared"), ("b", "appeared")] and ("b", "gone") in got and got.count(("b", "gone")) == 1
