@@ -42,9 +42,21 @@ def classes(data: bytes, at: np.ndarray) -> np.ndarray:
     return np.where((after & 0xC0) == 0x80, 5, out)
 
 
+def _begins(kind: np.ndarray, cuts: np.ndarray, overlap: int) -> np.ndarray:
+    """Where the piece after each cut begins: the first word boundary of the overlap, else its first character, else the cut."""
+    out = cuts.copy()
+    if overlap:
+        for most in (4, 3):  # the better kind is written last
+            good = np.flatnonzero(kind <= most) + 1
+            if len(good):
+                first = good[np.minimum(np.searchsorted(good, np.maximum(1, cuts - overlap)), len(good) - 1)]
+                inside = (first < cuts) & (first >= cuts - overlap)
+                out[inside] = first[inside]
+    return out
+
+
 def cuts(kind: np.ndarray, total: int, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Token spans (start, end) of the pieces; kind is the class of the boundary before each token 1..total-1."""
-    # Where a piece begins that follows a cut: the first word boundary of the overlap, else its first character.
     positions = np.arange(1, total)
     candidates = positions[kind <= 2]
     stretch = positions // STRETCH
@@ -57,34 +69,25 @@ def cuts(kind: np.ndarray, total: int, limit: int, overlap: int) -> list[tuple[i
         candidates = np.union1d(candidates, best[kind[best - 1] < 5])
     candidates = candidates[candidates < total]
 
-    def begin(cut: int) -> int:
-        if not overlap:
-            return cut
-        window = np.arange(max(1, cut - overlap), cut)
-        good = window[kind[window - 1] <= 3]
-        if not len(good):
-            good = window[kind[window - 1] <= 4]
-        return int(good[0]) if len(good) else cut
-
-    begins = np.array([0, *(begin(int(c)) for c in candidates)])
-    ends = np.array([*candidates, total])
+    begins = np.concatenate(([0], _begins(kind, candidates, overlap)))
+    ends = np.append(candidates, total)
     count = max(2, -(-(total - overlap) // max(1, limit - overlap)))
     ideal = (total + (count - 1) * overlap) / count
     price = np.concatenate((PENALTIES[np.minimum(kind[candidates - 1], 4)], [0.0]))
     best = np.full(len(ends) + 1, np.inf)
     best[0] = 0.0
     previous = np.zeros(len(ends) + 1, dtype=np.int64)
-    starts = np.array([0, *candidates])
+    scale = IMBALANCE**0.5 / ideal
     low = 0
-    for j, end in enumerate(ends):
+    for j, end in enumerate(ends.tolist()):
         while end - begins[low] > limit:
             low += 1
         if low > j:
             raise ValueError("no boundary within the limit")
-        sizes = end - begins[low : j + 1]
-        # New tokens must outnumber the overlap, or pieces would not advance.
-        cost = best[low : j + 1] + IMBALANCE * ((sizes - ideal) / ideal) ** 2 + np.where(end > starts[low : j + 1], 0, np.inf)
-        pick = int(np.argmin(cost))
+        cost = (begins[low : j + 1] + (ideal - end)) * scale
+        cost *= cost
+        cost += best[low : j + 1]
+        pick = int(cost.argmin())
         best[j + 1] = cost[pick] + price[j]
         previous[j + 1] = low + pick
     spans, at = [], len(ends)
