@@ -74,7 +74,7 @@ def joi24_reasons(c: Catalogue) -> DataFrame:
     return names.groupBy("partition_id").agg(F.array_join(F.sort_array(F.collect_list("product")), ", ").alias("reason"))
 
 
-@R.query(" SELECT split_part(storage_path, '/', 1) AS shelf, count(*) AS n_blobs, count(DISTINCT a.id) AS n_artefacts FROM b LEFT JOIN a ON a.upload_blob_id = b.id WHERE storage_path IS NOT NULL GROUP BY 1".replace("count(*)", "count(DISTINCT b.id)"))
+@R.query(" SELECT split_part(storage_path, '/', 1) AS shelf, count(DISTINCT b.id) AS n_blobs, count(DISTINCT a.id) AS n_artefacts FROM b LEFT JOIN a ON a.upload_blob_id = b.id WHERE storage_path IS NOT NULL GROUP BY 1")
 def joi25_owners_by_shelf(c: Catalogue) -> DataFrame:
     """Blobs and owning artefacts by the first part of the storage path."""
     held = c.artefacts.where("upload_blob_id IS NOT NULL").groupBy(F.col("upload_blob_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
@@ -221,7 +221,7 @@ def fun39_permission_ranks(c: Catalogue) -> DataFrame:
     return c.keys.where("permission IS NOT NULL").select(F.col("id").alias("key_id"), F.when(rank >= 0, rank).alias("rank"))
 
 
-@R.query(VALID.replace(", dj", ", dj") + """, mv AS (SELECT id, CASE json_type(j -> 'movies') WHEN 'ARRAY' THEN from_json(j -> 'movies', '["JSON"]') WHEN 'OBJECT' THEN [j -> 'movies'] END AS arr FROM dj), mm AS (SELECT unnest(arr) AS m FROM mv WHERE arr IS NOT NULL)
+@R.query(VALID + """, mv AS (SELECT id, CASE json_type(j -> 'movies') WHEN 'ARRAY' THEN from_json(j -> 'movies', '["JSON"]') WHEN 'OBJECT' THEN [j -> 'movies'] END AS arr FROM dj), mm AS (SELECT unnest(arr) AS m FROM mv WHERE arr IS NOT NULL)
 SELECT CASE WHEN json_type(m -> 'width') IN ('OBJECT', 'ARRAY') THEN NULL ELSE TRY_CAST(m ->> 'width' AS BIGINT) END AS width, count(*) AS n FROM mm WHERE json_type(m) = 'OBJECT' GROUP BY 1""")
 def flt12_movies_by_width(c: Catalogue) -> DataFrame:
     """Movies by width of the picture."""

@@ -109,7 +109,7 @@ def agg36_spellings(c: Catalogue) -> DataFrame:
 
 
 @R.query(r""", x AS (SELECT id, lower(original_filename) AS name FROM a WHERE original_filename IS NOT NULL), y AS (SELECT id, name, regexp_extract(name, '^(.*?)(?:\.[a-z0-9]+)?$', 1) AS base, CASE regexp_extract(name, '\.([a-z0-9]+)$', 1) WHEN 'zip' THEN 0 WHEN 'gz' THEN 1 WHEN 'zst' THEN 1 ELSE 2 END AS form FROM x)
-SELECT base, min(id) AS artefact_id, name FROM y QUALIFY false GROUP BY ALL""".replace("SELECT base, min(id) AS artefact_id, name FROM y QUALIFY false GROUP BY ALL", "SELECT base, id AS artefact_id, name FROM y QUALIFY row_number() OVER (PARTITION BY base ORDER BY form, id) = 1"))
+SELECT base, id AS artefact_id, name FROM y QUALIFY row_number() OVER (PARTITION BY base ORDER BY form, id) = 1""")
 def agg37_best_form(c: Catalogue) -> DataFrame:
     """Of several forms of one image the archive, else the compressed, else the raw one."""
     name = F.lower("original_filename")

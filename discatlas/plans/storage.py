@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from discatlas.catalog import Catalogue, Registry
-from discatlas.functions import formats
+from discatlas.functions import formats, hashes
 from discatlas.operators import dedup, listings
 
 R = Registry()
@@ -205,8 +205,6 @@ def pip12_capacity(c: Catalogue) -> DataFrame:
 @R.query("SELECT id AS blob_id FROM b WHERE file_size > 0 AND sha256 IS NOT NULL")
 def flt27_dedupable(c: Catalogue) -> DataFrame:
     """Blobs whose content counts in deduplication."""
-    from discatlas.functions import hashes
-
     return c.blobs.where(hashes.dedupable("file_size", "sha256")).select(F.col("id").alias("blob_id"))
 
 
