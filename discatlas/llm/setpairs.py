@@ -15,7 +15,6 @@ no set and no neighbourhood is gathered into one task.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
