@@ -50,6 +50,14 @@ def app_folder(path: Column | str) -> Column:
     return F.nullif(F.regexp_extract(_col(path), r"^((?:[^/]*/)*?![^/]+)(?:/|$)", 1), F.lit(""))
 
 
+def app_directory(path: Column | str) -> Column:
+    """The shallowest directory above a path whose own name begins with '!'; null if there is none."""
+    parts = F.split(_col(path), "/")
+    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    nth = F.array_position(F.transform(folders, lambda s: F.startswith(s, F.lit("!"))), F.lit(True))
+    return F.when(nth > 0, F.array_join(F.slice(folders, F.lit(1), nth.cast("int")), "/"))
+
+
 def is_child_of(path: Column | str, folder: Column | str) -> Column:
     """Whether the path lies directly in the folder; the root folder is '/'."""
     return F.when(parent(path) == "", F.lit("/")).otherwise(parent(path)) == _col(folder)

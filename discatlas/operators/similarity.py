@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from discatlas.functions import hashes, paths
 from discatlas.operators.ranking import running
+from discatlas.runtime import cut, scratch
 
 CAP = 50
 FLOOR = 0.10
@@ -75,17 +76,33 @@ def idf_jaccard(sets: DataFrame, pairs: DataFrame, weights: DataFrame) -> DataFr
     return joined.select("a", "b", (F.col("common") / (F.col("ta") + F.col("tb") - F.col("common"))).alias("score"))
 
 
-def components(files: DataFrame, most_depth: int = 4, least_files: int = 2, most: int = 500) -> DataFrame:
+def below_roots(files: DataFrame, most_depth: int = 4, apps: bool = False) -> DataFrame:
+    """Content below each directory that can be a component: owner, root, h, size.
+
+    With apps, the first directory of a path that begins with '!' counts at any depth.
+    """
+    roots = paths.ancestors("path", most_depth)
+    if apps:
+        roots = F.array_distinct(F.array_compact(F.concat(roots, F.array(paths.app_directory("path")))))
+    below = files.where("h IS NOT NULL AND size > 0").select("owner", "h", "size", F.explode(roots).alias("root"))
+    return below.groupBy("owner", "root", "h").agg(F.min("size").alias("size"))
+
+
+def components(files: DataFrame, most_depth: int = 4, least_files: int = 2, most: int = 500, apps: bool = False) -> DataFrame:
     """Directory components of owners, with equal ones folded: owner, root, depth, n_files, n_bytes, fingerprint.
 
     files has (owner, path, h, size). A component is a directory down to
     most_depth with at least least_files different contents below it. Components
     of one owner with the same contents fold into the shallowest, then first by
     name; of the rest the `most` with most files are kept. The fingerprint is
-    the digest of the ordered contents.
+    the digest of the ordered contents. With apps, the first directory of a path
+    that begins with '!' is a component at any depth.
     """
-    below = files.where("h IS NOT NULL AND size > 0").select("owner", "h", "size", F.explode(paths.ancestors("path", most_depth)).alias("root"))
-    distinct = below.groupBy("owner", "root", "h").agg(F.min("size").alias("size"))
+    return folded(below_roots(files, most_depth, apps), least_files, most)
+
+
+def folded(distinct: DataFrame, least_files: int = 2, most: int = 500) -> DataFrame:
+    """Components of the content below each directory, as `below_roots` gives it."""
     entry = F.concat_ws(":", "h", F.col("size").cast("string"))
     built = distinct.groupBy("owner", "root").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("n_bytes"), hashes.set_fingerprint(entry).alias("fingerprint"))
     sized = built.where(F.col("n_files") >= least_files).withColumn("depth", paths.depth("root"))
@@ -95,6 +112,31 @@ def components(files: DataFrame, most_depth: int = 4, least_files: int = 2, most
     return kept.select("owner", "root", "depth", "n_files", "n_bytes", "fingerprint")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """df written to a table of the shared folder, which is smaller than a checkpoint, and read again."""
+    path = scratch(df.sparkSession, "components")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def component_pairs(files: DataFrame, cap: int = CAP, floor: float = FLOOR) -> DataFrame:
+    """Similar directory components of different owners: a, root_a, b, root_b, score, shared_files, union_files, shared_bytes, union_bytes.
+
+    Components are compared like owners, keyed by (owner, root): candidates share
+    content that 2 to `cap` components hold, and pairs with score >= floor stay.
+    """
+    below = _stored(below_roots(files, apps=True))
+    kept = cut(folded(below).select("owner", "root", F.monotonically_increasing_id().alias("id")))
+    members = _stored(below.join(kept, ["owner", "root"]).select("id", F.col("owner").alias("whole"), "h", "size"))
+    rare = members.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(2, cap)).select("h")
+    useful = members.join(rare, "h").select("h", "id", "whole")
+    pairs = useful.toDF("h", "a", "wa").join(useful.toDF("h", "b", "wb"), "h").where("wa < wb").select("a", "b").distinct()
+    scored = score_pairs(pairs, members.select(F.col("id").alias("owner"), "h", "size")).where(F.col("score") >= floor)
+    left, right = kept.toDF("owner_a", "root_a", "a"), kept.toDF("owner_b", "root_b", "b")
+    named = scored.join(left, "a").join(right, "b")
+    return named.select(F.col("owner_a").alias("a"), "root_a", F.col("owner_b").alias("b"), "root_b", "score", "shared_files", "union_files", "shared_bytes", "union_bytes")
+
+
 def nearest_rank(n: Column, percent: float) -> Column:
     """Position from 1 of a percentile: half-even rounding of percent / 100 n + 1/2, clamped; 100 is the last."""
     if percent >= 100:

@@ -124,6 +124,43 @@ def agg07_component_matches(c: Catalogue) -> DataFrame:
     return matched.groupBy("root").agg(F.max("n").alias("most_matches"))
 
 
+#: SQL of scored pairs of components; directories that begin with '!' are components at any depth.
+COMPONENT_PAIRS = """, qf AS (SELECT partition_id AS owner, md5 AS h, file_size AS size, string_split(path, '/') AS parts FROM f WHERE NOT is_directory AND md5 IS NOT NULL AND file_size > 0 AND partition_id IS NOT NULL),
+qe AS (SELECT owner, h, size, array_to_string(parts[1:k], '/') AS root FROM qf, unnest(range(1, len(parts))) AS t(k) WHERE k <= 4 OR k = list_position([starts_with(x, '!') for x in parts], true)),
+qd AS (SELECT owner, root, h, min(size) AS size FROM qe GROUP BY ALL),
+qb AS (SELECT owner, root, count(*) AS n, sum(size)::BIGINT AS bytes, md5(string_agg(h || ':' || size, ',' ORDER BY h)) AS content, len(string_split(root, '/')) AS depth FROM qd GROUP BY owner, root HAVING count(*) >= 2),
+qo AS (SELECT * FROM (SELECT * FROM qb QUALIFY row_number() OVER (PARTITION BY owner, content ORDER BY depth, root) = 1) QUALIFY row_number() OVER (PARTITION BY owner ORDER BY n DESC, root) <= 500),
+qs AS (SELECT qd.* FROM qd JOIN qo ON qo.owner = qd.owner AND qo.root = qd.root),
+qr AS (SELECT h FROM qs GROUP BY h HAVING count(*) BETWEEN 2 AND 50),
+qc AS (SELECT DISTINCT x.owner AS a, x.root AS root_a, y.owner AS b, y.root AS root_b FROM qs x JOIN qs y ON x.h = y.h AND x.owner < y.owner WHERE x.h IN (SELECT h FROM qr)),
+qj AS (SELECT qc.*, count(*) AS shared_files, sum(least(x.size, y.size))::BIGINT AS shared_bytes FROM qc JOIN qs x ON x.owner = qc.a AND x.root = qc.root_a JOIN qs y ON y.owner = qc.b AND y.root = qc.root_b AND y.h = x.h GROUP BY ALL),
+qp AS (SELECT qj.a, qj.root_a, qj.b, qj.root_b, shared_bytes::DOUBLE / (x.bytes + y.bytes - shared_bytes)::DOUBLE AS score, shared_files, x.n + y.n - shared_files AS union_files, shared_bytes, (x.bytes + y.bytes - shared_bytes)::BIGINT AS union_bytes
+  FROM qj JOIN qo x ON x.owner = qj.a AND x.root = qj.root_a JOIN qo y ON y.owner = qj.b AND y.root = qj.root_b WHERE shared_bytes::DOUBLE / (x.bytes + y.bytes - shared_bytes)::DOUBLE >= 0.1),
+qm AS (SELECT a AS owner, root_a AS root, b AS other, root_b AS other_root FROM qp UNION ALL SELECT b, root_b, a, root_a FROM qp)"""
+
+
+@R.query(COMPONENT_PAIRS + " SELECT * FROM qp")
+def joi12_component_pairs(c: Catalogue) -> DataFrame:
+    """Similar directory components of different partitions with score, shared and union files and bytes; partial overlaps too."""
+    return sim.component_pairs(hashable(c))
+
+
+def _component_matches(c: Catalogue) -> DataFrame:
+    """Similar components from both ends: owner, root, other, other_root."""
+    pairs = sim.component_pairs(hashable(c)).select("a", "root_a", "b", "root_b")
+    ends = F.array(*(F.struct(F.col(x).alias("owner"), F.col(f"root_{x}").alias("root"), F.col(y).alias("other"), F.col(f"root_{y}").alias("other_root")) for x, y in ("ab", "ba")))
+    return pairs.select(F.inline(ends))
+
+
+@R.query(COMPONENT_PAIRS + """, m AS (SELECT root, owner, count(*) AS n FROM qm GROUP BY ALL)
+SELECT root, n AS most_matches, owner AS partition_id FROM m QUALIFY row_number() OVER (PARTITION BY root ORDER BY n DESC, owner) = 1""")
+def agg07_similar_components(c: Catalogue) -> DataFrame:
+    """For every root path the most components of other partitions that one component resembles, and the first partition where it does."""
+    matched = _component_matches(c).groupBy("root", "owner").agg(F.count(F.lit(1)).alias("n"))
+    best = matched.groupBy("root").agg(F.max(F.struct("n", (-F.col("owner")).alias("last"))).alias("best"))
+    return best.select("root", F.col("best.n").alias("most_matches"), (-F.col("best.last")).alias("partition_id"))
+
+
 DIST = """, v AS (SELECT {value} AS v FROM {source}), o AS (SELECT v, row_number() OVER (ORDER BY v) AS r, count(*) OVER () AS n FROM v),
 pick AS (SELECT {picks} FROM o)
 SELECT (SELECT count(*) FROM v) AS n, (SELECT sum(v)::BIGINT FROM v) AS total, (SELECT sum(v)::BIGINT::DOUBLE / count(*) FROM v) AS mean, pick.* FROM pick"""
@@ -189,6 +226,12 @@ def agg13_component_only(c: Catalogue) -> DataFrame:
     return matched.join(sim.both_directions(scored(c)).select("owner"), "owner", "left_anti")
 
 
+@R.query(PAIRS + COMPONENT_PAIRS + " SELECT DISTINCT owner FROM qm WHERE owner NOT IN (SELECT a FROM pr UNION SELECT b FROM pr)")
+def agg13_similar_component_only(c: Catalogue) -> DataFrame:
+    """Partitions that resemble another in a directory, wholly or in part, and in no whole."""
+    return _component_matches(c).select("owner").distinct().join(sim.both_directions(scored(c)).select("owner"), "owner", "left_anti")
+
+
 @R.query(PAIRS + " SELECT a AS owner, b AS other, score FROM pr UNION ALL SELECT b, a, score FROM pr")
 def joi13_neighbours(c: Catalogue) -> DataFrame:
     """Similar partitions from both ends."""

@@ -81,6 +81,20 @@ def test_components(spark):
     assert [r["root"] for r in few] == ["A"]
 
 
+def test_component_pairs_of_partial_overlap(spark):
+    first = [(1, f"A/{n}", n, 10) for n in "xyz"] + [(1, "a/b/c/d/e/!App/p", "p", 5), (1, "a/b/c/d/e/!App/q", "q", 5), (1, "a/b/c/d/r", "r", 90)]
+    second = [(2, f"B/{n}", n, 10) for n in "xyw"] + [(2, "!App/p", "p", 5), (2, "!App/q", "q", 5)]
+    alone = [(3, "C/x", "x", 10), (3, "C/v", "v", 1000)]
+    got = {(r["a"], r["root_a"], r["b"], r["root_b"]): (r["score"], r["shared_files"], r["union_files"]) for r in sim.component_pairs(spark.createDataFrame(first + second + alone, FILES)).collect()}
+    assert got == {(1, "A", 2, "B"): (0.5, 2, 4), (1, "a/b/c/d/e/!App", 2, "!App"): (1.0, 2, 2), (1, "a", 2, "!App"): (0.1, 2, 3)}
+
+
+def test_component_pairs_share_uncommon_content(spark):
+    rows = [(o, f"D/{n}", n, 1) for o in range(51) for n in ("everywhere", f"own{o}")]
+    assert sim.component_pairs(spark.createDataFrame(rows, FILES)).count() == 0
+    assert sim.component_pairs(spark.createDataFrame(rows[:100], FILES)).count() == math.comb(50, 2)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 10])
 def test_percentiles_round_half_even(spark, n):
     values = spark.createDataFrame([(i * 10,) for i in range(1, n + 1)], "v long")
