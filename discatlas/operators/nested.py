@@ -254,3 +254,93 @@ def entities(adjacency: DataFrame, label: str, fields: dict[str, str]) -> DataFr
     picked = children.groupBy("key", "node").agg(*(F.max(F.when(F.col("field") == name, F.col("scalar"))).alias(f"__{i}") for i, name in enumerate(fields)))
     joined = rows.join(picked, ["key", "node"], "left")
     return joined.select("key", "node_path", "parent_path", "ordinal", *(F.col(f"__{i}").try_cast(kind).alias(f"field_{name}" if name in ("key", "node_path", "parent_path", "ordinal") else name) for i, (name, kind) in enumerate(fields.items())))
+
+
+def element_nodes(value: object, label: str | None, fields: dict[tuple[str, ...], int], lone: frozenset[str], out: tuple[list, ...]) -> int:
+    """Append the elements under one label (None: the document) and their scalars, also those of objects standing in them, to the six lists of out; give how many."""
+    elements, ordinals, paths, owners, numbers, texts = out
+    before = len(elements)
+    count = 0
+    stack = [(value, None, None, "$", None, False, None, ())]
+    while stack:
+        value, name, ordinal, path, owner, element, home, prefix = stack.pop()
+        below = path if element or owner is None else owner
+        whole = label is None and owner is None and type(value) in (dict, list)
+        if whole or (type(value) is dict and element and name == label):
+            home, count = count, count + 1
+            for column, item in zip(out, (home, ordinal, path, owner, None, None), strict=True):
+                column.append(item)
+        if type(value) is dict:
+            for key, child in value.items():
+                if type(child) is dict:
+                    clean = _clean(key)
+                    if clean in lone:
+                        stack.append((child, clean, 0, f"{path}.{clean}[0]", below, True, None, ()))
+                    else:
+                        stack.append((child, clean, None, f"{path}.{clean}", below, False, home, (*prefix, key)))
+                elif type(child) is list:
+                    clean = _clean(key)
+                    stack.append((child, clean, None, f"{path}.{clean}", below, False, None, ()))
+                elif home is not None and child is not None and (number := fields.get((*prefix, key))) is not None:
+                    elements.append(home)
+                    ordinals.append(None)
+                    paths.append(None)
+                    owners.append(None)
+                    numbers.append(number)
+                    texts.append(_kind(child)[1])
+        elif type(value) is list:
+            for index, child in enumerate(value):
+                if type(child) is dict or type(child) is list:
+                    stack.append((child, name or "$", index, f"{path}[{index}]", below, True, None, ()))
+    return len(elements) - before
+
+
+def flat(df: DataFrame, key: str, column: str, label: str | None, fields: dict[str, str], lone_keys: tuple[str, ...] = LONE_KEYS) -> DataFrame:
+    """The flat table of one level with what its elements hold down to the next level: key, node_path, parent_path, ordinal and the fields.
+
+    A field is named by its keys below the element joined by dots (attrs.load
+    is the scalar load of the object attrs) and comes out with underscores; its
+    value is as in `entities`. The parser stores only the adjacency rows of the
+    label. Without a label, one row for each document that is an object or an
+    array, which is the parent `$`.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    lone = frozenset(lone_keys)
+    numbers = {tuple(name.split(".")): i for i, name in enumerate(fields)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = []
+        out: tuple[list, ...] = tuple([] for _ in range(6))
+        held = None
+
+        def flush() -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string())
+            arrays = [pa.array(keys, held), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))]
+            keys.clear()
+            for x in out:
+                x.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["key", "element", "ordinal", "path", "owner", "field", "scalar"])
+
+        for batch in batches:
+            held = batch.schema.field(0).type
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    value = parse(text)
+                except ValueError:
+                    continue
+                keys.extend([name] * element_nodes(value, label, numbers, lone, out))
+                if len(keys) >= BATCH_ROWS:
+                    yield flush()
+        if keys:
+            yield flush()
+
+    rows = df.select(key, column).where(F.col(column).isNotNull()).mapInArrow(run, f"key {kind}, element int, ordinal int, path string, owner string, field int, scalar string")
+    links = [F.max(name).alias(alias) for name, alias in (("path", "node_path"), ("owner", "parent_path"), ("ordinal", "ordinal"))]
+    grouped = rows.groupBy("key", "element").agg(*links, *(F.max(F.when(F.col("field") == i, F.col("scalar"))).alias(f"__{i}") for i in range(len(fields))))
+    return grouped.select("key", "node_path", "parent_path", "ordinal", *(F.col(f"__{i}").try_cast(kind).alias(name.replace(".", "_")) for i, (name, kind) in enumerate(fields.items())))
+
+
+def values(adjacency: DataFrame) -> DataFrame:
+    """The scalars standing in arrays: key, parent_path, field (the array's key), ordinal, value."""
+    found = adjacency.where("scalar IS NOT NULL AND ordinal IS NOT NULL")
+    return found.select("key", F.col("owner").alias("parent_path"), F.col("label").alias("field"), "ordinal", F.col("scalar").alias("value"))

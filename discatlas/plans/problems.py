@@ -95,9 +95,49 @@ ENTITIES = {
     "indicators": {"type": "string", "track": "int", "sector_id": "string"},
     "chunks": {"offset": "long", "bytes": "long"},
 }
+#: Flat tables of every level with all scalar fields; those of an object standing in the element are named by both keys.
+FLAT = {
+    "analyses": {"path_prefix": "string", "file.file_type": "string", "summary.score": "double"},
+    "partitions": {"index": "int", "filesystem": "string", "label": "string", "geometry.heads": "int", "geometry.tracks": "int", "geometry.sector_size": "int"},
+    "directories": {"path": "string"},
+    "entries": {"name": "string", "size": "long", "attrs.load": "string", "attrs.exec": "string", "attrs.access": "string"},
+    "forks": {"kind": "string", "len": "long"},
+    "modules": {"title_string": "string", "file_path": "string", "hash": "string", "version": "string"},
+    "commands": {"name": "string", "min_args": "int"},
+    "arguments": {"pos": "int", "type": "string"},
+    "indicators": {"type": "string", "track": "int", "side": "int", "sector_id": "string"},
+    "evidence": {"sector": "int"},
+    "reads": {"rev": "int", "crc": "string"},
+    "movies": {"file_path": "string", "title": "string", "width": "int", "height": "int", "frame_rate": "string", "audio.rate": "int"},
+    "tracks": {"channels": "int", "lang": "string"},
+    "chunks": {"offset": "long", "bytes": "long"},
+    "transcoded": {"file_path": "string", "media_kind": "string"},
+    "streams": {"codec": "string", "tags.title": "string", "tags.year": "int"},
+    "outputs": {"filename": "string", "size": "long", "path": "string", "probe.ok": "boolean"},
+    "segments": {"from": "long", "crc": "string"},
+    "failed_conversions": {"source": "string", "error.code": "int", "error.text": "string"},
+}
+
+
+def _flat(label: str, fields: dict[str, str]):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        found = nested.flat(_details(spark, folder), "id", "details", None if label == "analyses" else label, fields)
+        return found.withColumnRenamed("key", "analysis_id")
+
+    query.__doc__ = f"Flat table of the {label} of all analyses with every field, and parent links to the table above."
+    return query
+
+
+def p2_flat_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Scalars in arrays of all levels, with the row that holds the array."""
+    return nested.values(nested.shred(_details(spark, folder), "id", "details")).withColumnRenamed("key", "analysis_id")
+
+
 QUERIES = {
     "p2_found": p2_found,
     **{f"p2_{label}": _entities(label, fields) for label, fields in ENTITIES.items()},
+    **{f"p2_flat_{label}": _flat(label, fields) for label, fields in FLAT.items()},
+    "p2_flat_values": p2_flat_values,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_report": p4_report,
@@ -153,9 +193,25 @@ def _entity_sql(label: str, fields: dict[str, str]) -> str:
     return _P2 + f"SELECT r.aid AS analysis_id, r.path AS node_path, r.owner AS parent_path, r.ordinal, {picked} FROM r LEFT JOIN t c ON c.aid = r.aid AND c.parent = r.nid WHERE r.element AND r.type = 'OBJECT' AND r.label = '{label}' GROUP BY ALL"
 
 
+def _flat_sql(label: str, fields: dict[str, str]) -> str:
+    kinds = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    picks = []
+    for name, kind in fields.items():
+        *outer, last = name.split(".")
+        here, where = ("d", f"c.key = '{outer[0]}' AND c.type = 'OBJECT' AND d.key = '{last}'") if outer else ("c", f"c.key = '{last}'")
+        picks.append(f"TRY_CAST(max(CASE WHEN {where} AND {here}.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN {here}.atom ->> '$' END) AS {kinds[kind]}) AS {name.replace('.', '_')}")
+    rows = f"SELECT *, owner AS above FROM r WHERE element AND type = 'OBJECT' AND label = '{label}'"
+    if label == "analyses":
+        rows = "SELECT *, NULL::VARCHAR AS above FROM r WHERE path = '$' AND label = '$' AND NOT element AND type IN ('OBJECT', 'ARRAY')"
+    return _P2 + f", e AS ({rows}) SELECT e.aid AS analysis_id, e.path AS node_path, e.above AS parent_path, e.ordinal, {', '.join(picks)} FROM e LEFT JOIN t c ON c.aid = e.aid AND c.parent = e.nid LEFT JOIN t d ON d.aid = c.aid AND d.parent = c.nid AND c.key NOT IN ({_LONE}) GROUP BY e.aid, e.nid, e.path, e.above, e.ordinal"
+
+
 ORACLE = {
     "p2_found": _P2 + "SELECT aid AS analysis_id, path AS node_path, owner AS parent_path FROM r WHERE element AND type = 'OBJECT'",
     **{f"p2_{label}": _entity_sql(label, fields) for label, fields in ENTITIES.items()},
+    **{f"p2_flat_{label}": _flat_sql(label, fields) for label, fields in FLAT.items()},
+    "p2_flat_values": _P2 + """SELECT c.aid AS analysis_id, CASE WHEN r.element THEN r.path ELSE r.owner END AS parent_path, r.label AS field, c.key::INTEGER AS ordinal, c.atom ->> '$' AS value
+      FROM r JOIN t c ON c.aid = r.aid AND c.parent = r.nid WHERE r.type = 'ARRAY' AND c.type NOT IN ('OBJECT', 'ARRAY', 'NULL')""",
     "p4_found": _P4 + "SELECT table_name, row_id, period, state FROM judged WHERE state IS NOT NULL",
     "p4_report": _P4 + "SELECT table_name, period, state, count(*) AS n_refs FROM judged WHERE state IS NOT NULL GROUP BY ALL",
     "p5_found": _P5 + """SELECT table_name, field_name, key_value FROM profile WHERE key_value IS NOT NULL

@@ -134,3 +134,30 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, details string")
     assert nested.shred(df, "id", "details").count() == 0
     assert nested.entities(nested.shred(df, "id", "details"), "x", {"a": "int"}).count() == 0
+
+
+def test_flat_keeps_objects_standing_in_an_element(spark):
+    text = json.dumps({"entries": [{"name": "a", "attrs": {"load": 7, "deep": {"x": "y"}}, "forks": [{"name": "no"}]}, {}], "attrs": {"load": 1}})
+    df = spark.createDataFrame([(1, text), (2, "[]"), (3, "5"), (4, "{")], "id long, details string")
+    fields = {"name": "string", "attrs.load": "int", "attrs.deep.x": "string"}
+    rows = nested.flat(df, "id", "details", "entries", fields).collect()
+    assert sorted(map(tuple, rows)) == [(1, "$.entries[0]", "$", 0, "a", 7, "y"), (1, "$.entries[1]", "$", 1, None, None, None)]
+    top = nested.flat(df, "id", "details", None, {"attrs.load": "int"}).collect()
+    assert sorted(map(tuple, top)) == [(1, "$", None, None, 1), (2, "$", None, None, None)]
+
+
+def test_flat_tables_hold_every_element_and_parent(spark):
+    import __spark_entry__ as entry
+
+    from .conftest import DATA
+
+    queries = entry.queries()
+    held = set()
+    parents = set()
+    for label in ("analyses", *nested.LONE_KEYS):
+        for r in queries[f"p2_flat_{label}"](spark, DATA).select("analysis_id", "node_path", "parent_path").collect():
+            held.add((r["analysis_id"], r["node_path"]))
+            parents.add((r["analysis_id"], r["parent_path"]))
+    found = {(r["analysis_id"], r["node_path"]) for r in queries["p2_found"](spark, DATA).collect()}
+    assert found and {x for x in held if x[1] != "$"} == found
+    assert {x for x in parents if x[1] is not None} <= held
