@@ -30,6 +30,18 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> tuple[
     return window.limit(size), window.count() > size
 
 
+def capped_trees(rows: DataFrame, tree: str, kind: str, order: list[Column], most: int = 200_000) -> DataFrame:
+    """The first `most` rows of each kind in every tree, and in is_truncated whether the tree had more of any kind.
+
+    One row more than the cap is kept to tell, so no task holds more of a tree
+    than that after its part of the rows is cut.
+    """
+    nth = F.row_number().over(Window.partitionBy(tree, kind).orderBy(*order))
+    kept = rows.withColumn("__nth", nth).where(F.col("__nth") <= most + 1)
+    whole = kept.withColumn("is_truncated", F.max("__nth").over(Window.partitionBy(tree)) > most)
+    return whole.where(F.col("__nth") <= most).drop("__nth")
+
+
 def clamp_page(number: int, total: int, size: int) -> int:
     """The page number that exists: between 1 and the last."""
     return max(1, min(number, -(-total // size) if size > 0 else 1))

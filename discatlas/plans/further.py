@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from discatlas.catalog import Catalogue, Registry
 from discatlas.functions import paths, text
-from discatlas.operators import dedup, hierarchy, known, nested, sinks
+from discatlas.operators import dedup, hierarchy, known, listings, nested, sinks
 from discatlas.plans.known import KNOWN, VALID, _apps, contents, reference
 from discatlas.plans.trees import DERIVED
 
@@ -136,6 +136,18 @@ def srt10_capped_tree(c: Catalogue) -> DataFrame:
     return files.orderBy(F.col("partition_id").asc_nulls_last(), "path", "id").limit(200_000).select("partition_id", "path")
 
 
+@R.query(DERIVED + """, tf AS (SELECT t.root AS root_id, f.id AS file_id, f.partition_id, f.path, f.is_directory FROM f JOIN p ON p.id = f.partition_id JOIN top t ON t.node = p.artefact_id WHERE f.path IS NOT NULL AND f.is_directory IS NOT NULL),
+tn AS (SELECT *, row_number() OVER (PARTITION BY root_id, is_directory ORDER BY partition_id, path, file_id) AS nth, count(*) OVER (PARTITION BY root_id, is_directory) AS n FROM tf)
+SELECT root_id, partition_id, file_id, path, is_directory, max(n) OVER (PARTITION BY root_id) > 200000 AS is_truncated FROM tn QUALIFY nth <= 200000""")
+def srt10_tree_paths(c: Catalogue) -> DataFrame:
+    """Files and directories of every derivation tree, each at most 200,000 a tree, and whether the tree has more."""
+    tops = hierarchy.roots(c.artefacts, "id", "parent_artefact_id").select(F.col("node").alias("artefact_id"), F.col("root").alias("root_id"))
+    place = c.partitions.select(F.col("id").alias("partition_id"), "artefact_id").join(tops, "artefact_id").select("partition_id", "root_id")
+    files = c.files_of("partition_id", "path", "is_directory").where("path IS NOT NULL AND is_directory IS NOT NULL")
+    rows = files.join(place, "partition_id").select("root_id", "partition_id", F.col("id").alias("file_id"), "path", "is_directory")
+    return listings.capped_trees(rows, "root_id", "is_directory", [F.col("partition_id").asc(), F.col("path").asc(), F.col("file_id").asc()])
+
+
 @R.query(DERIVED + " SELECT an.id AS analysis_id FROM an JOIN top t ON t.node = an.artefact_id JOIN a r ON r.id = t.root WHERE an.status = 'PENDING' AND r.is_private")
 def rec15_pending_under_private(c: Catalogue) -> DataFrame:
     """Pending analyses in the derivation trees of private artefacts."""

@@ -122,6 +122,14 @@ def test_storage_totals(spark):
     assert tuple(none) == (0, 0, 0, 0, None)
 
 
+def test_cap_belongs_to_each_tree(spark):
+    rows = [(tree, is_dir, i) for tree, dirs, files in ((1, 3, 1), (2, 4, 2), (3, 0, 4), (4, 3, 3)) for is_dir, n in ((True, dirs), (False, files)) for i in range(n)]
+    got = listings.capped_trees(spark.createDataFrame(rows, "tree long, is_directory boolean, id long"), "tree", "is_directory", [F.col("id").asc()], 3).collect()
+    kept = {(r["tree"], r["is_directory"], r["id"]) for r in got}
+    assert kept == {r for r in rows if r[2] < 3} and len(got) == len(kept)
+    assert {(r["tree"], r["is_truncated"]) for r in got} == {(1, False), (2, True), (3, True), (4, False)}
+
+
 def test_listings(spark):
     rows = spark.createDataFrame([(i, n) for i, n in enumerate(["b1", "b2", "a", " ", None, "Éa", "9", "c"])], "id long, label string")
     assert [(r["letter"], r["n"], r["page"]) for r in listings.letter_pages(rows, "label", 2).orderBy("letter").collect()] == [("9", 1, 1), ("A", 1, 1), ("B", 2, 2), ("C", 1, 3), ("É", 1, 3)]
