@@ -208,6 +208,34 @@ def fun30_failed_conversions(c: Catalogue) -> DataFrame:
     return nested.entities(adjacency, "failed_conversions", {"filename": "string"}).where("parent_path = '$'").select(F.col("key").alias("analysis_id"), "ordinal", "filename")
 
 
+@R.query(VALID + """, ok AS (SELECT an.id, an.artefact_id, dj.j FROM an JOIN dj ON dj.id = an.id WHERE an.status = 'COMPLETED' AND an.success AND an.artefact_id IS NOT NULL),
+lists AS (SELECT id, artefact_id, label, CASE json_type(j -> label) WHEN 'ARRAY' THEN from_json(j -> label, '["JSON"]') WHEN 'OBJECT' THEN [j -> label] END AS arr FROM ok, (VALUES ('outputs'), ('failed_conversions')) AS t(label)),
+el AS (SELECT id, artefact_id, label, k - 1 AS ordinal, arr[k] AS e FROM lists, unnest(range(1, len(arr) + 1)) AS t(k) WHERE arr IS NOT NULL AND json_type(arr[k]) = 'OBJECT'),
+nm AS (SELECT *, CASE label WHEN 'outputs' THEN CASE WHEN json_type(e -> 'filename') NOT IN ('OBJECT', 'ARRAY') THEN e ->> 'filename' END WHEN 'failed_conversions' THEN CASE WHEN json_type(e -> 'source') NOT IN ('OBJECT', 'ARRAY') THEN e ->> 'source' END END AS source FROM el),
+bad AS (SELECT * FROM nm WHERE label = 'failed_conversions' AND source <> '' QUALIFY row_number() OVER (PARTITION BY artefact_id, source ORDER BY id, ordinal) = 1),
+good AS (SELECT DISTINCT artefact_id, source FROM nm WHERE label = 'outputs' AND source <> '')
+SELECT coalesce(bad.artefact_id, good.artefact_id) AS artefact_id, coalesce(bad.source, good.source) AS source, good.source IS NOT NULL AS converted, bad.id AS analysis_id, TRY_CAST(bad.e ->> '$.error.code' AS INTEGER) AS error_code, bad.e ->> '$.error.text' AS error_text
+FROM bad FULL JOIN good ON good.artefact_id = bad.artefact_id AND good.source = bad.source""")
+def fun30_conversion_status(c: Catalogue) -> DataFrame:
+    """For every artefact and source whether it was converted, and the first failure with its error; of completed analyses that succeeded."""
+    done = c.analyses.where("status = 'COMPLETED' AND success AND artefact_id IS NOT NULL").select(F.col("id").alias("key"), "artefact_id")
+    texts = c.analyses.select("id", "details")
+
+    def elements(label: str, name: str, fields: dict[str, str]) -> DataFrame:
+        found = nested.flat(texts, "id", "details", label, {name: "string", **fields}).where(F.col("node_path") == F.concat(F.lit(f"$.{label}["), "ordinal", F.lit("]")))
+        return found.withColumnRenamed(name, "source").where("source != ''").join(done, "key")
+
+    return conversion_status(elements("outputs", "filename", {}), elements("failed_conversions", "source", {"error.code": "int", "error.text": "string"}))
+
+
+def conversion_status(outputs: DataFrame, failures: DataFrame) -> DataFrame:
+    """Sources with outputs (artefact_id, source) and failures (also key, ordinal, error_code, error_text) as one row per artefact and source."""
+    first = failures.groupBy("artefact_id", "source").agg(F.min(F.struct("key", "ordinal", "error_code", "error_text")).alias("first"))
+    converted = outputs.select("artefact_id", "source", F.lit(True).alias("made")).distinct()
+    both = first.join(converted, ["artefact_id", "source"], "full")
+    return both.select("artefact_id", "source", F.coalesce("made", F.lit(False)).alias("converted"), F.col("first.key").alias("analysis_id"), F.col("first.error_code").alias("error_code"), F.col("first.error_text").alias("error_text"))
+
+
 @R.query(r""" SELECT b.id AS blob_id, left(lower(b.sha256), 2) || '/' || substr(lower(b.sha256), 3, 2) || '/' || lower(b.sha256) || coalesce('-' || nullif(regexp_replace(regexp_extract(b.storage_path, '([^/]*)$', 1), '[^A-Za-z0-9._-]', '_', 'g'), ''), '') AS key FROM b WHERE regexp_full_match(lower(b.sha256), '[0-9a-f]{64}')""")
 def fun31_storage_keys(c: Catalogue) -> DataFrame:
     """Content-addressed key of every blob."""

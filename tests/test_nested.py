@@ -161,3 +161,25 @@ def test_flat_tables_hold_every_element_and_parent(spark):
     found = {(r["analysis_id"], r["node_path"]) for r in queries["p2_found"](spark, DATA).collect()}
     assert found and {x for x in held if x[1] != "$"} == found
     assert {x for x in parents if x[1] is not None} <= held
+
+
+def test_conversion_status_reads_source_and_error(spark, tmp_path):
+    import datetime
+
+    from discatlas.catalog import Catalogue
+    from discatlas.plans.derived import fun30_conversion_status
+
+    def fail(source, code):
+        return {"source": source, "error": {"code": code, "text": f"error {code}"}}
+
+    now = datetime.datetime(2020, 1, 1)
+    details = [
+        (1, 7, "COMPLETED", True, {"outputs": [{"filename": "A"}, {"filename": "B"}], "failed_conversions": [fail("C", 4), fail("B", 5), fail("C", 6)]}),
+        (2, 7, "COMPLETED", True, {"failed_conversions": fail("C", 1)}),
+        (3, 8, "COMPLETED", True, {"failed_conversions": [{"source": "C", "error": None}, {"source": ""}]}),
+        (4, 7, "FAILED", False, {"outputs": [{"filename": "D"}], "failed_conversions": [fail("E", 1)]}),
+    ]
+    rows = [(i, a, status, ok, json.dumps(d), now) for i, a, status, ok, d in details]
+    spark.createDataFrame(rows, "id long, artefact_id long, status string, success boolean, details string, loaded_at timestamp_ntz").write.parquet(str(tmp_path / "analyses.parquet"))
+    got = sorted(tuple(r) for r in fun30_conversion_status(Catalogue(spark, str(tmp_path))).collect())
+    assert got == [(7, "A", True, None, None, None), (7, "B", True, 1, 5, "error 5"), (7, "C", False, 1, 4, "error 4"), (8, "C", False, 3, None, None)]
