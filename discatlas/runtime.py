@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -41,27 +42,43 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     path = os.path.join(tempfile.gettempdir(), f"discatlas-{os.getuid()}", "shared")
     os.makedirs(path, exist_ok=True)
     return f"file://{path}"
 
 
+def _until_exit(spark: SparkSession, path: str) -> None:
+    """Have a path of the shared folder removed when the application ends; it is kept as long as plans may read it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _until_exit(spark, path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from the files: survives lost executors."""
+    """Checkpoint df in the shared folder and go on from the files: survives lost executors, keeps the order within partitions."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
+        _until_exit(spark, context.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write df as a compressed table to the shared folder and go on from it, as `cut` does but in less room and without an order."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def prepare(spark: SparkSession) -> None:
     """Make a session fit for the engine: generated code of compilable size, and this package on the workers."""
     # The JVM doesn't compile methods over 8,000 bytes of bytecode; wide projections then run interpreted.

@@ -27,7 +27,7 @@ def test_shared_folder_must_be_named_on_a_cluster(tmp_path):
     assert runtime.shared_dir(fake("spark://host:7077", "s3a://bucket/x/")) == "s3a://bucket/x"
     with pytest.raises(RuntimeError):
         runtime.shared_dir(fake("spark://host:7077"))
-    assert runtime.shared_dir(fake("local[4]")).startswith("file:/")
+    assert runtime.shared_dir(fake("local[4]")) == runtime.shared_dir(fake("local")) and runtime.shared_dir(fake("local")).startswith("file:/")
 
 
 def test_prepare_and_cut(spark):
@@ -37,3 +37,10 @@ def test_prepare_and_cut(spark):
     df = runtime.cut(spark.range(5).selectExpr("id", "id * 2 AS twice"))
     assert df.count() == 5 and "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
     assert runtime.scratch(spark, "x") != runtime.scratch(spark, "x")
+
+
+def test_stored_tables(spark):
+    df = runtime.stored(spark.range(5).selectExpr("id", "'a' AS b"))
+    assert sorted(df.collect()) == [(i, "a") for i in range(5)]
+    none = runtime.stored(spark.range(5).where("id < 0"))
+    assert none.count() == 0 and none.columns == ["id"]
