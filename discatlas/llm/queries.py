@@ -19,7 +19,7 @@ def _sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of different sets of at least 4 values that overlap by 0.6 or more."""
+    """Pairs of sets of at least 4 values that overlap by 0.6 or more, equal ones included."""
     return setpairs.similar_sets(_sets(spark, folder), 0.6, 4).select(F.col("group").alias("set_kind"), "left_id", "right_id")
 
 
@@ -81,7 +81,7 @@ ORACLE = {
   SELECT a.set_kind, a.id AS left_id, b.id AS right_id, count(*) AS n FROM m a JOIN m b ON a.set_kind = b.set_kind AND a.v = b.v AND a.id < b.id GROUP BY ALL)
 SELECT c.set_kind, c.left_id, c.right_id FROM c
 JOIN s l ON l.set_kind = c.set_kind AND l.id = c.left_id JOIN s r ON r.set_kind = c.set_kind AND r.id = c.right_id
-WHERE c.n >= 0.6 * (l.n + r.n - c.n) AND NOT (c.n = l.n AND c.n = r.n)""",
+WHERE c.n >= 0.6 * (l.n + r.n - c.n)""",
     "p1_classes": _SETS + """, f AS (SELECT m.set_kind, m.id, s.n, string_agg(md5(v), ',' ORDER BY md5(v)) AS f FROM m JOIN s USING (set_kind, id) GROUP BY ALL)
 SELECT set_kind, id AS set_id, min(id) OVER (PARTITION BY set_kind, f) AS class_id, n AS n_values FROM f""",
     "p8_found": """
