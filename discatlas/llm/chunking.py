@@ -2,10 +2,9 @@
 
 Texts over `limit` tokens come out as ordered pieces of at most `limit`, each
 after the first beginning with the last `overlap` tokens or fewer of the one
-before. Over the boundary positions a dynamic program minimises cut penalties
-(paragraph, line, sentence, word, inside a word) plus size imbalance. Boundaries
-between sentences or better are all positions; where a stretch of STRETCH tokens
-has none, its best weaker boundary is one, so that a solution always exists.
+before. A dynamic program over every boundary position minimises cut penalties
+(paragraph, line, sentence, word, inside a word) plus size imbalance; the result
+is optimal over all boundaries between whole characters.
 """
 
 from __future__ import annotations
@@ -22,7 +21,8 @@ from discatlas.llm import tokens
 #: Penalty of a cut at a paragraph, line, sentence, word, and inside a word.
 PENALTIES = np.array([0.0, 0.15, 0.4, 1.5, 6.0])
 IMBALANCE = 1.0
-STRETCH = 32
+#: Boundaries of one step of the dynamic program.
+BLOCK = 64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, dtype=bool)
@@ -56,40 +56,58 @@ def _begins(kind: np.ndarray, cuts: np.ndarray, overlap: int) -> np.ndarray:
 
 
 def cuts(kind: np.ndarray, total: int, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Token spans (start, end) of the pieces; kind is the class of the boundary before each token 1..total-1."""
-    positions = np.arange(1, total)
-    candidates = positions[kind <= 2]
-    stretch = positions // STRETCH
-    bare = np.setdiff1d(np.unique(stretch), np.unique(candidates // STRETCH))
-    if len(bare):
-        left = positions[np.isin(stretch, bare)]
-        order = np.lexsort((-left, kind[left - 1], left // STRETCH))
-        ranked = left[order]
-        best = ranked[np.concatenate(([True], np.diff(ranked // STRETCH) > 0))]
-        candidates = np.union1d(candidates, best[kind[best - 1] < 5])
-    candidates = candidates[candidates < total]
-
-    begins = np.concatenate(([0], _begins(kind, candidates, overlap)))
-    ends = np.append(candidates, total)
+    """Token spans (start, end) of the pieces; kind is the class of the boundary before each token 1..total-1.
+
+    Boundaries are taken in blocks: the best way to each from those before the
+    block is one matrix of costs, and the few ways inside a block are tried only
+    where a piece so short could pay.
+    """
+    candidates = np.flatnonzero(kind <= 4) + 1
+    begins = np.concatenate(([0], _begins(kind, candidates, overlap))).astype(np.float64)
+    ends = np.append(candidates, total).astype(np.float64)
     count = max(2, -(-(total - overlap) // max(1, limit - overlap)))
     ideal = (total + (count - 1) * overlap) / count
-    price = np.concatenate((PENALTIES[np.minimum(kind[candidates - 1], 4)], [0.0]))
+    scale = IMBALANCE / ideal**2
+    price = np.append(PENALTIES[kind[candidates - 1]], 0.0)
+    low = np.searchsorted(begins, ends - limit)  # the first start from which a piece to this end is within the limit
     best = np.full(len(ends) + 1, np.inf)
     best[0] = 0.0
     previous = np.zeros(len(ends) + 1, dtype=np.int64)
-    scale = IMBALANCE**0.5 / ideal
-    low = 0
-    for j, end in enumerate(ends.tolist()):
-        while end - begins[low] > limit:
-            low += 1
-        if low > j:
-            raise ValueError("no boundary within the limit")
-        cost = (begins[low : j + 1] + (ideal - end)) * scale
-        cost *= cost
-        cost += best[low : j + 1]
-        pick = int(cost.argmin())
-        best[j + 1] = cost[pick] + price[j]
-        previous[j + 1] = low + pick
+    most = max(1.0, scale * (limit - ideal) ** 2)  # no two pieces differ by more in imbalance
+    for first in range(0, len(ends), BLOCK):
+        last = min(first + BLOCK, len(ends))
+        lows, near = low[first:last], int(low[first])
+        arrive, pick = np.full(last - first, np.inf), np.zeros(last - first, dtype=np.int64)
+        if near <= first:
+            # A start is of no use beside a later one that is better by what imbalance can make good.
+            later = np.append(np.minimum.accumulate(best[near : first + 1][::-1])[::-1][1:], np.inf)
+            starts = near + np.flatnonzero(best[near : first + 1] < later + most)
+            if len(starts):
+                cost = ends[first:last, None] - (begins[starts] + ideal)
+                cost *= cost
+                cost *= scale
+                cost += best[starts]
+                if starts[0] < lows[-1]:
+                    cost[starts < lows[:, None]] = np.inf
+                nth = cost.argmin(axis=1)
+                arrive, pick = cost[np.arange(last - first), nth], starts[nth]
+        # A way inside the block ends in a piece shorter than the block is wide.
+        widest = min(ends[last - 1] - begins[first + 1], limit) if last > first + 1 else 0
+        shortest = scale * max(0.0, ideal - widest) ** 2
+        reached = arrive + price[first:last]
+        if not (reached.min() + shortest >= arrive.max() and np.isfinite(arrive.max())):
+            for j in range(last - first):
+                since = max(int(lows[j]), first + 1)
+                if since <= first + j:  # starts at the boundaries first .. first + j - 1 of this block
+                    inside = scale * (ends[first + j] - begins[since : first + j + 1] - ideal) ** 2 + reached[since - first - 1 : j]
+                    nth = int(inside.argmin())
+                    if inside[nth] < arrive[j]:
+                        arrive[j], pick[j] = inside[nth], since + nth
+                reached[j] = arrive[j] + price[first + j]
+        best[first + 1 : last + 1] = reached
+        previous[first + 1 : last + 1] = pick
+    if not np.isfinite(best[-1]):
+        raise ValueError("no boundary within the limit")
     spans, at = [], len(ends)
     while at > 0:
         before = int(previous[at])
@@ -110,18 +128,13 @@ def split(text: str, limit: int, overlap: int, path: str) -> list[tuple[int, int
     kind = classes(data, at[1:-1])
     allowed = limit
     while True:
-        try:
-            spans = cuts(kind, len(ids), allowed, overlap)
-        except ValueError:  # a stretch without whole characters longer than the limit can't be, but a limit of a few tokens can
-            if allowed < limit or overlap == 0:
-                raise
-            overlap = 0
-            continue
+        # A piece by itself can have more tokens than its span of the text: then spans get shorter until all fit.
+        spans = cuts(kind, len(ids), allowed, overlap)
         pieces = [data[at[a] : at[b]].decode() for a, b in spans]
         sizes = [len(tokens.encode(piece, path)) for piece in pieces]
-        if max(sizes) <= limit or allowed <= limit // 2:
+        if max(sizes) <= limit:
             break
-        allowed -= max(sizes) - limit
+        allowed -= max(1, min(max(sizes) - limit, (allowed - overlap) // 4))
     over = [0, *(spans[i - 1][1] - spans[i][0] for i in range(1, len(spans)))]
     return list(zip(over, sizes, pieces, strict=True))
 

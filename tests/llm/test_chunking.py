@@ -29,7 +29,7 @@ TEXTS = {
 
 
 @pytest.mark.parametrize("name", TEXTS)
-@pytest.mark.parametrize(("limit", "overlap"), [(1024, 64), (100, 20), (64, 0)])
+@pytest.mark.parametrize(("limit", "overlap"), [(1024, 64), (100, 20), (64, 0), (128, 32), (64, 16), (32, 8), (16, 4), (16, 7), (8, 3)])
 def test_pieces_cover_the_text(name, limit, overlap):
     text = TEXTS[name]
     got = chunking.split(text, limit, overlap, PATH)
@@ -61,26 +61,41 @@ def test_cuts_are_natural_where_possible():
     assert all(over > 0 for over, _, _ in got[1:])
 
 
-def test_dynamic_program_is_optimal():
+@pytest.mark.parametrize("shares", [(0.02, 0.05, 0.1, 0.6, 0.2, 0.03), (0, 0, 0, 0, 0.95, 0.05), (0.3, 0.2, 0.2, 0.2, 0.1, 0), (0.001, 0, 0.005, 0.7, 0.294, 0)])
+@pytest.mark.parametrize("block", [3, 64])
+def test_dynamic_program_is_optimal_over_all_boundaries(shares, block, monkeypatch):
+    monkeypatch.setattr(chunking, "BLOCK", block)
     rng = np.random.default_rng(0)
-    for _ in range(40):
-        total, limit, overlap = int(rng.integers(30, 60)), 16, 4
-        kind = rng.integers(0, 3, total - 1)
-        spans = chunking.cuts(kind, total, limit, overlap)
-
-        def begin(cut, kind=kind):
-            window = [c for c in range(max(1, cut - overlap), cut) if kind[c - 1] <= 3]
-            return window[0] if window else cut
-
-        count = max(2, -(-(total - overlap) // (limit - overlap)))
-        ideal = (total + (count - 1) * overlap) / count
-        best = {0: 0.0}
-        for end in range(1, total + 1):
-            options = [best[s] + ((end - (begin(s) if s else 0) - ideal) / ideal) ** 2 for s in best if s < end and end - (begin(s) if s else 0) <= limit]
-            if options:
-                best[end] = min(options) + (chunking.PENALTIES[kind[end - 1]] if end < total else 0)
-        price = sum(((b - a - ideal) / ideal) ** 2 for a, b in spans) + sum(chunking.PENALTIES[kind[b - 1]] for _, b in spans[:-1])
-        assert price == pytest.approx(best[total])
+    for limit in (8, 16, 32, 64, 128):
+        for overlap in (0, limit // 16, limit // 4, (limit - 1) // 2):
+            total = int(rng.integers(limit + 1, limit * 5))
+            kind = rng.choice(6, total - 1, p=shares)
+
+            def begin(cut, kind=kind, overlap=overlap):
+                window = range(max(1, cut - overlap), cut)
+                return next((c for most in (3, 4) for c in window if kind[c - 1] <= most), cut)
+
+            count = max(2, -(-(total - overlap) // (limit - overlap)))
+            ideal = (total + (count - 1) * overlap) / count
+            best = {0: 0.0}
+            for end in [c for c in range(1, total) if kind[c - 1] <= 4] + [total]:
+                options = [price + ((end - (begin(s) if s else 0) - ideal) / ideal) ** 2 for s, price in best.items() if end - (begin(s) if s else 0) <= limit]
+                if options:
+                    best[end] = min(options) + (chunking.PENALTIES[kind[end - 1]] if end < total else 0)
+            if total not in best:
+                continue
+            spans = chunking.cuts(kind, total, limit, overlap)
+            price = sum(((b - a - ideal) / ideal) ** 2 for a, b in spans) + sum(chunking.PENALTIES[kind[b - 1]] for _, b in spans[:-1])
+            assert price == pytest.approx(best[total]) and max(b - a for a, b in spans) <= limit
+
+
+@pytest.mark.parametrize(("limit", "overlap"), [(8, 3), (16, 4), (32, 8), (64, 16), (128, 32)])
+def test_every_piece_overlaps_the_one_before(limit, overlap):
+    rng = random.Random(limit)
+    for _ in range(30):
+        got = chunking.split(prose(rng, 30), limit, overlap, PATH)
+        assert max(size for _, size, _ in got) <= limit
+        assert all(0 < over <= overlap for over, _, _ in got[1:])
 
 
 def test_operator_and_edges(spark):
