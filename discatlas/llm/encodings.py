@@ -307,7 +307,9 @@ def restore(df: DataFrame, key: str, fields: list[str], support: int = 2) -> Dat
     only lost characters are reported.
     """
     kind = df.schema[key].dataType.simpleString()
-    names = cut(distinct_names(df, fields))
+    # Few bytes, much work: without a number of its own, adaptive execution would put the names into one task.
+    lanes = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = cut(distinct_names(df, fields).repartition(lanes, "name"))
     model = learn_model(names)
     shared = df.sparkSession.sparkContext.broadcast(Restorer(model, learn_chains(names, model, support)))
 
@@ -322,4 +324,4 @@ def restore(df: DataFrame, key: str, fields: list[str], support: int = 2) -> Dat
             yield pd.concat(parts)
 
     wanted = df.select(F.col(key).alias("key"), *(F.col(f).alias(f"field_{i}") for i, f in enumerate(fields)))
-    return wanted.mapInPandas(run, f"key {kind}, field_name string, restored string")
+    return wanted.repartition(lanes, *wanted.columns).mapInPandas(run, f"key {kind}, field_name string, restored string")

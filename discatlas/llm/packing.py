@@ -139,10 +139,14 @@ def pack(documents: DataFrame, capacity: int = 2048, per_window: int = 512, doc_
     sized = cut(sized_pieces(documents, capacity, doc_id, text, vocabulary))
     total, count = sized.agg(F.sum("n_tokens"), F.count(F.lit(1))).first()
     windows = max(1, round((total or 0) / (capacity * per_window)), math.ceil(count / (per_window * 64)))
-    spread = sized.withColumn("window", F.pmod(F.xxhash64("doc_id", "piece_no", F.monotonically_increasing_id()), F.lit(windows)).cast("long"))
+    # Copies are counted and numbered, so the windows don't depend on the layout of the files and a document repeated often is spread.
+    alike = sized.groupBy("doc_id", "piece_no", "token_start", "n_tokens").agg(F.count(F.lit(1)).alias("copies"))
+    numbered = alike.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    spread = numbered.withColumn("window", F.pmod(F.xxhash64("doc_id", "piece_no", "copy"), F.lit(windows)).cast("int"))
+    spread = spread.select("window", "copy", "doc_id", "piece_no", "token_start", "n_tokens").repartitionById(windows, "window")
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "piece_no"], kind="stable").reset_index(drop=True)
+        frame = frame.sort_values(["doc_id", "copy", "piece_no"], kind="stable").reset_index(drop=True)
         rows = []
         for number, group in enumerate(fill(frame["n_tokens"].tolist(), capacity)):
             at = 0
@@ -151,7 +155,7 @@ def pack(documents: DataFrame, capacity: int = 2048, per_window: int = 512, doc_
                 at += int(frame["n_tokens"].iat[index])
         made = pd.DataFrame(rows, columns=["number", "position", "offset", "row"])
         picked = frame.iloc[made["row"]].reset_index(drop=True)
-        picked["container_id"] = picked["window"] * (1 << 24) + made["number"]
+        picked["container_id"] = picked["window"].astype("int64") * (1 << 24) + made["number"]
         picked["position"], picked["offset"] = made["position"], made["offset"]
         return picked[["container_id", "position", "offset", "doc_id", "piece_no", "token_start", "n_tokens"]]
 
