@@ -37,7 +37,7 @@ def test_random_references(spark):
     rng = random.Random(1)
     keys = [f"k{i}" for i in range(60)]
     targets = [(rng.choice([*keys[:40], None]), rng.choice([True, False, None]), DAY + timedelta(days=rng.randint(0, 60))) for _ in range(80)]
-    refs = [(i, rng.choice([*keys, None, "k1", "k1", "k1", "k50"]), rng.choice(["2024-01", "2024-02", None]), rng.choice([None, DAY + timedelta(days=rng.randint(0, 60))])) for i in range(500)]
+    refs = [(i, rng.choice([*keys, None, "k1", "k1", "k1", "k50"]), rng.choice(["2024-01", "2024-02", None, ""]), rng.choice([None, DAY + timedelta(days=rng.randint(0, 60))])) for i in range(500)]
     assert run(spark, refs, targets) == sorted(brute(refs, targets), key=repr)
 
 
@@ -69,3 +69,24 @@ def test_ranges_overflow_into_further_ones(spark, monkeypatch):
     rows = orphans.encode(keys, 10).collect()
     assert len({(r["range"], r["position"]) for r in rows}) == 1000
     assert max(r["position"] for r in rows) < 64
+
+
+def test_sparse_positions_are_brought_together_before_bitmaps_are_built(spark):
+    # A million keys over 32 ranges, 48 months and 50 tasks: whole bitmaps would be many times the positions.
+    assert orphans.sparse(1_000_000, 32 * 48, 50, 2)
+    assert not orphans.sparse(1_000_000, 32, 50, 2) and not orphans.sparse(0, 1, 8, 2)
+    df = spark.range(20_000).selectExpr("id % 500 AS range", "concat('m', id % 12) AS period", "cast(id / 500 AS int) AS position").repartition(8)
+    made = {by_range: orphans._bitmap(df, ["range", "period"], {"referred": "true"}, by_range) for by_range in (True, False)}
+    plans = {k: v._jdf.queryExecution().executedPlan().toString() for k, v in made.items()}
+    # No exchange after the aggregation: only set bits are shuffled.
+    assert plans[True].count("Exchange hashpartitioning(range") == 1 and "partial_bitmap" in plans[True].split("Exchange hashpartitioning(range")[0]
+    rows = {k: sorted((r["range"], r["period"], bytes(r["referred"])) for r in v.collect()) for k, v in made.items()}
+    assert rows[True] == rows[False]
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_a_hot_orphan_key(spark, monkeypatch, most):
+    monkeypatch.setattr(orphans, "HOT_ROWS", 50)
+    monkeypatch.setattr(orphans, "MOST_HOT", most)
+    refs = [(i, "gone" if i % 3 else f"k{i}", None if i % 2 else "p", DAY) for i in range(900)]
+    assert run(spark, refs, [("k0", False, DAY)]) == sorted(brute(refs, [("k0", False, DAY)]), key=repr)
