@@ -125,8 +125,12 @@ def _kind(value: object) -> tuple[str, str | None]:
     return ("number", str(value)) if type(value) is Number else ("string", _clean(value))
 
 
-def nodes(value: object, lone: frozenset[str], scalars: bool, out: tuple[list, ...]) -> int:
-    """Append the nodes of a parsed value to the eight lists of out; give how many there were."""
+def nodes(value: object, lone: frozenset[str], scalars: bool, out: tuple[list, ...], only: str | None = None, fields: frozenset[str] = frozenset()) -> int:
+    """Append the nodes of a parsed value to the eight lists of out; give how many there were.
+
+    only restricts them to the object elements of that label and their scalars named by fields.
+    """
+    whole = scalars and only is None
     ids, parents, labels, ordinals, kinds, texts, paths, owners = out
     before = len(ids)
     count = 1
@@ -136,7 +140,8 @@ def nodes(value: object, lone: frozenset[str], scalars: bool, out: tuple[list, .
         below = path if element else owner
         inner = type(value) is dict
         if inner or type(value) is list:
-            if scalars or (inner and element):
+            wanted = inner and element and (only is None or label == only)
+            if whole or wanted:
                 ids.append(node)
                 parents.append(parent)
                 labels.append(label)
@@ -145,7 +150,7 @@ def nodes(value: object, lone: frozenset[str], scalars: bool, out: tuple[list, .
                 texts.append(None)
                 paths.append(path)
                 owners.append(owner)
-        elif scalars:  # a document that is one scalar
+        elif whole:  # a document that is one scalar
             kind, text = _kind(value)
             for column, item in zip(out, (node, parent, label, ordinal, kind, text, path, owner), strict=True):
                 column.append(item)
@@ -162,7 +167,7 @@ def nodes(value: object, lone: frozenset[str], scalars: bool, out: tuple[list, .
                     key = _clean(key)
                     stack.append((child, count, node, key, None, f"{path}.{key}", below, False))
                     count += 1
-                elif scalars:
+                elif whole or (scalars and wanted and key in fields):
                     name, text = _kind(child)
                     ids.append(count)
                     parents.append(node)
@@ -179,7 +184,7 @@ def nodes(value: object, lone: frozenset[str], scalars: bool, out: tuple[list, .
                 if kind is dict or kind is list:
                     stack.append((child, count, node, label, index, f"{path}[{index}]", below, True))
                     count += 1
-                elif scalars:
+                elif whole:
                     name, text = _kind(child)
                     ids.append(count)
                     parents.append(node)
@@ -193,17 +198,18 @@ def nodes(value: object, lone: frozenset[str], scalars: bool, out: tuple[list, .
     return len(ids) - before
 
 
-def shred(df: DataFrame, key: str, column: str, lone_keys: tuple[str, ...] = LONE_KEYS, scalars: bool = True) -> DataFrame:
+def shred(df: DataFrame, key: str, column: str, lone_keys: tuple[str, ...] = LONE_KEYS, scalars: bool = True, only: str | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
     """The adjacency table of JSON text: key, node, parent, label, ordinal, kind, scalar, path, owner.
 
     node numbers are unique within a document, 0 is its root. An element bears
     the label of its array and its index as ordinal. path is given for objects
     and arrays; owner is the path of the nearest enclosing array element, or $.
-    With scalars=False only the objects that are array elements are stored: the
-    filter of a reader who needs no others, pushed into the parser.
+    With scalars=False only the objects that are array elements are stored, with
+    only=label those of that label and their scalars named by fields: filters of
+    a reader who needs no others, pushed into the parser.
     """
     kind = df.schema[key].dataType.simpleString()
-    lone = frozenset(lone_keys)
+    lone, named = frozenset(lone_keys), frozenset(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list = []
@@ -225,7 +231,7 @@ def shred(df: DataFrame, key: str, column: str, lone_keys: tuple[str, ...] = LON
                     value = parse(text)
                 except ValueError:
                     continue
-                keys.extend([name] * nodes(value, lone, scalars, out))
+                keys.extend([name] * nodes(value, lone, scalars, out, only, named))
                 if len(keys) >= BATCH_ROWS:
                     yield flush()
         if keys:

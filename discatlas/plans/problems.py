@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from discatlas.operators import instants, nested, orphans, skewagg
-from discatlas.runtime import scratch
+from discatlas.runtime import scratch, stored
 from discatlas.tables import distinct_delivery, first_delivery, load
 
 TIME_FIELDS = ("created_time", "modified_time", "accessed_time")
@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _entities(label: str, fields: dict[str, str]):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        adjacency = nested.shred(_details(spark, folder), "id", "details")
+        adjacency = stored(nested.shred(_details(spark, folder), "id", "details", only=label, fields=tuple(fields)), "adjacency")
         return nested.entities(adjacency, label, fields).withColumnRenamed("key", "analysis_id")
 
     query.__doc__ = f"Flat table of the {label} of all analyses, with parent links."

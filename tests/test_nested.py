@@ -183,3 +183,13 @@ def test_conversion_status_reads_source_and_error(spark, tmp_path):
     spark.createDataFrame(rows, "id long, artefact_id long, status string, success boolean, details string, loaded_at timestamp_ntz").write.parquet(str(tmp_path / "analyses.parquet"))
     got = sorted(tuple(r) for r in fun30_conversion_status(Catalogue(spark, str(tmp_path))).collect())
     assert got == [(7, "A", True, None, None, None), (7, "B", True, 1, 5, "error 5"), (7, "C", False, 1, 4, "error 4"), (8, "C", False, 3, None, None)]
+
+
+def test_a_label_is_pushed_into_the_parser(spark):
+    texts = [(1, '{"entries": [{"name": "a", "size": 1, "entries": [{"name": "b", "x": [1]}]}, 5], "name": "root"}'), (2, '{"entries": {"name": null, "sub": {"name": "no"}}}'), (3, '"x"'), (4, None)]
+    df = spark.createDataFrame(texts, "id long, details string")
+    whole = nested.shred(df, "id", "details")
+    pushed = nested.shred(df, "id", "details", only="entries", fields=("name",))
+    assert {r["kind"] for r in pushed.collect()} == {"object", "string", "null"} and pushed.count() == 6
+    fields = {"name": "string"}
+    assert sorted(map(tuple, nested.entities(pushed, "entries", fields).collect())) == sorted(map(tuple, nested.entities(whole, "entries", fields).collect()))
