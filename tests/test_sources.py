@@ -4,6 +4,7 @@ import json
 import random
 import struct
 import zipfile
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,30 +162,55 @@ def test_sinks(spark, tmp_path):
     assert {r["t"] for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()} == {"'=1+1", "ok", None}
 
 
+def test_inf_lines(spark):
+    cases = {
+        "MYFILE FFFFFD00 FFFFFF00": ("MYFILE", "fffffd00", "ffffff00", None, None, "ffd"),
+        "F FFFFFD00 0 100 WR/r": ("F", "fffffd00", "00000000", 256, "WR/r", "ffd"),
+        "F FFFFFD00 0 100 33": ("F", "fffffd00", "00000000", 256, "33", "ffd"),
+        "F FFFFFD00 0 100": ("F", "fffffd00", "00000000", 256, None, "ffd"),
+        "F 1900 8023 L": ("F", "00001900", "00008023", None, "L", None),
+        '  "MY FILE" FFFFFF00\t1 2 WR ': ("MY FILE", "ffffff00", "00000001", 2, "WR", "fff"),
+        "#.BOOT 1 2": ("#.BOOT", "00000001", "00000002", None, None, None),
+        "!Boot FFF00100 2": ("!Boot", "fff00100", "00000002", None, None, "001"),
+    }
+    none = ["", "   ", "ONLYONE", "TWO FIELDS", "FILE NOTAHEX FFFFFF00", '"UNTERMINATED FFFFFD00 FFFFFF00', None]
+    df = spark.createDataFrame([(x,) for x in [*cases, *none]], "line string").select("line", scripts.inf_columns("line").alias("f"))
+    got = {r["line"]: r["f"] for r in df.collect()}
+    for line, expected in cases.items():
+        assert tuple(got[line])[:6] == expected, line
+    assert all(got[line] is None for line in none)
+    assert got["F 1900 8023 L"]["modified"] is None
+    stamp = spark.range(1).select(scripts.inf_columns(F.lit("F FFFFFD33 6E996A00")).alias("f")).first()["f"]["modified"]
+    assert stamp == datetime(1900, 1, 1) + timedelta(milliseconds=10 * 0x336E996A00)
+
+
 @pytest.mark.parametrize(
-    ("line", "expected"),
+    ("text", "expected"),
     [
-        ("$.!BOOT FFFF1900 FF8023 1A L", ("$.!BOOT", "ffff1900", "ffff8023", 26, True)),
-        ('"My File" 1900 8023', ("My File", "00001900", "00008023", None, False)),
-        ("NAME", ("NAME", None, None, None, False)),
-        ("N 0 0 10 ACCESS=0B", ("N", "00000000", "00000000", 16, True)),
-        ("", (None, None, None, None, False)),
-        (None, (None, None, None, None, False)),
+        ("| !Run\nSet MyApp$Dir <Obey$Dir>\nWimpSlot -min 320k -max 320k\nRun <MyApp$Dir>.!RunImage %*0\n", ["!runimage"]),
+        ("*BASIC -quit <Obey$Dir>.Sources.Main\n", ["sources/main"]),
+        ("BASIC -chain <Obey$Dir>.x -quit <Obey$Dir>.y\nbasic <Obey$Path>.z", ["y", "z"]),
+        ("RMEnsure Util 0.00 RMLoad <Obey$Dir>.Modules.MyMod\nRun <Obey$Dir>.!RunImage\nRMRun <Obey$Dir>.m\nRUN <Obey$Dir>.!RunImage", ["modules/mymod", "!runimage", "m"]),
+        ("RMEnsure Util 0.00 Error Needs Util 0.00 or later", []),
+        ("Run <B$Dir>.prog\nSet B$Dir <A$Dir>.sub\nSetMacro A$Dir <Obey$Dir>.Bin", ["bin/sub/prog"]),
+        ("SetEval A$Dir <Obey$Dir>\nRun <A$Dir>.x", ["x"]),
+        ("RMLoad <System$Dir>.Modules.Foo\nRun <Foo$Dir>.x\nSet App$Dir Resources:$.Apps.Foo\nRun <App$Dir>.y\nRun loader.main", ["loader/main"]),
+        ("Set A <B>\nSet B <A>\nRun <A>.x", []),
+        ("Set A$Path <A$Path>,<Obey$Dir>.\nRun <Obey$Dir>.ok", ["ok"]),
+        ('Run "<Obey$Dir>.!RunImage" %0\nRun -x\nRun %0\nRun\nRun <Obey$Dir>', ["!runimage"]),
+        ("| comment\n\n   \n|Run <Obey$Dir>.no", []),
+        (None, []),
     ],
 )
-def test_inf_lines(spark, line, expected):
-    assert scripts.parse_inf(line) == expected
-
-
-def test_launch_scripts(spark):
-    text = 'Set App$Dir <Obey$Dir>\n| comment\nIconSprites <App$Dir>.!Sprites\nRMEnsure X 1.0 RMLoad System:X\n/<App$Dir>.!RunImage %*0\nIf "<A>"="" Then Run <Obey$Dir>.Sub.Tool Else Run <Obey$Dir>.Other\nRun ADFS::4.$.Outside\n'
-    names, variables = scripts.launched(text)
-    assert names == ["!RunImage", "Sub/Tool", "Other"] and variables["app$dir"] == "<Obey$Dir>"
-    loop = "Set A <B>\nSet B <A>\nRun <A>.x\n"
-    assert scripts.launched(loop)[0] == []
-    df = spark.createDataFrame([(text, "$.A 0 0"), (None, None), ("", "")], "s string, i string")
-    got = df.select(scripts.launched_column("s").alias("n"), scripts.inf_columns("i").alias("f")).collect()
-    assert [r["n"] for r in got] == [names, [], []] and [r["f"]["name"] for r in got] == ["$.A", None, None]
+def test_launch_scripts(text, expected):
+    assert scripts.launched(text) == expected
+
+
+def test_launch_scripts_after_a_boot_script(spark):
+    rows = [("Run <Foo$Dir>.!RunImage", "Set Foo$Dir <Obey$Dir>"), ("Run <Foo$Dir>.a", None), (None, ""), ("Set Foo$Dir <Obey$Dir>.own\nRun <Foo$Dir>.a", "Set Foo$Dir <Obey$Dir>")]
+    df = spark.createDataFrame(rows, "s string, b string")
+    got = df.select(scripts.launched_column("s").alias("n"), scripts.launched_column("s", "b").alias("m")).collect()
+    assert [(r["n"], r["m"]) for r in got] == [([], ["!runimage"]), ([], []), ([], []), (["own/a"], ["own/a"])]
 
 
 def test_fuzzy_neighbours(spark):
