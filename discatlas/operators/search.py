@@ -17,7 +17,13 @@ from pyspark.sql import functions as F
 
 from discatlas.functions import formats, hashes, text
 
-ALIASES = {"name": "filename", "file": "filename", "type": "filetype", "extension": "ext", "filesystem": "fs", "disc": "label"}
+# Other names of keys.
+ALIASES = {
+    "name": "filename", "file": "filename", "type": "filetype", "extension": "ext", "filesystem": "fs", "disc": "label", "gnu": "ident", "gnufile": "ident", "prot": "protection",
+    "replaytitle": "replay_title", "replayauthor": "replay_author", "replaycopyright": "replay_copyright",
+    "replayvideoformat": "replay_vformat", "replayvideocodec": "replay_vformat", "replaycodec": "replay_vformat", "replaysoundformat": "replay_sformat",
+    "replaywidth": "replay_width", "replayheight": "replay_height", "replayframerate": "replay_framerate", "replayduration": "replay_duration",
+}
 _TERM = re.compile(r'(!?)(\w+):(?:"([^"]*)"|(\S+))|"([^"]*)"|(\S+)')
 
 
@@ -71,11 +77,13 @@ def _filetype(value: str) -> Column:
 
 #: Key -> (table it needs, predicate of a value).
 BUILDERS: dict[str, tuple[str, Callable[[str], Column]]] = {
-    "filename": ("file", lambda v: F.col("filename").ilike(text.like_search(v))),
-    "path": ("file", lambda v: F.col("path").ilike(text.like_exact(v))),
+    "filename": ("file", lambda v: F.col("filename").ilike(text.like_exact(v))),
+    "path": ("file", lambda v: F.col("path").ilike(text.like_search(v))),
     "ext": ("file", lambda v: F.lower("extension") == v.lower().lstrip(".")),
     "filetype": ("file", _filetype),
     "md5": ("file", lambda v: hashes.hash_matches("md5", v, 32)),
+    "sha1": ("file", lambda v: hashes.hash_matches("sha1", v, 40)),
+    "sha256": ("file", lambda v: hashes.hash_matches("sha256", v, 64)),
     "size": ("file", lambda v: numeric(F.col("file_size"), v)),
     "depth": ("file", lambda v: numeric(F.col("extraction_depth"), v)),
     "fs": ("partition", lambda v: F.upper("filesystem") == v.upper()),
@@ -102,15 +110,19 @@ def clause(query: Query, tables: tuple[str, ...] = TABLES) -> Column | None:
     return reduce(lambda a, b: a & b, wanted + unwanted)
 
 
-def problems(query: Query) -> list[str]:
+#: Hexadecimal digits of a whole hash.
+HASH_LENGTHS = {"md5": 32, "sha1": 40, "sha256": 64}
+
+
+def problems(query: Query, known: set[str] | None = None) -> list[str]:
     """Warnings about a query: unknown keys, negation only, odd hashes and file types."""
-    out = [f"unknown key {k}" for k in sorted(query.keys - set(BUILDERS))]
+    out = [f"unknown key {k}" for k in sorted(query.keys - (known or set(BUILDERS)))]
     if query.unwanted and not query.wanted and not query.words:
         out.append("a query needs a term that isn't negated")
     for key, values in [*query.wanted.items(), *query.unwanted.items()]:
         for value in values:
-            if key == "md5" and (len(value) > 32 or not re.fullmatch(r"[0-9a-fA-F*]+", value)):
-                out.append(f"{value} is no md5")
+            if key in HASH_LENGTHS and (len(value) > HASH_LENGTHS[key] or not re.fullmatch(r"[0-9a-fA-F]+", value)):
+                out.append(f"{value} is no {key}")
             if key == "filetype" and not formats.filetype_codes(value):
                 out.append(f"{value} is no file type")
     return out
@@ -120,6 +132,7 @@ def star(query: Query, files: DataFrame, partitions: DataFrame, artefacts: DataF
     """Files joined with as many of their partition, artefact and item as the query's keys need."""
     needed = {BUILDERS[k][0] for k in query.keys if k in BUILDERS}
     out = files.where("NOT coalesce(is_directory, false)")
+    out = out.select("*", *(F.lit(None).cast("string").alias(c) for c in ("sha1", "sha256") if c not in out.columns))
     if needed & {"partition", "artefact", "item"}:
         out = out.join(partitions.select(F.col("id").alias("partition_id"), "artefact_id", "filesystem", F.col("label").alias("partition_label")), "partition_id")
     if needed & {"artefact", "item"}:

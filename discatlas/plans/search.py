@@ -30,15 +30,17 @@ P = "JOIN p ON p.id = f.partition_id "
 A = P + "JOIN a ON a.id = p.artefact_id "
 I = A + "JOIN i ON i.id = a.item_id "  # noqa: E741
 _search("flt02_hash_prefix", "md5:0a", "f.md5 ILIKE '0a%'", "Files by the beginning of a hash")
-_search("flt03_name_substring", "filename:sprite", "f.filename ILIKE '%sprite%'", "Files by part of the name")
+_search("flt03_name_substring", "filename:*sprite*", "f.filename ILIKE '%sprite%'", "Files by part of the name")
 _search("flt03_name_wildcard", "filename:!r*", "f.filename ILIKE '!r%'", "Files by a pattern of the name")
+_search("flt03_path_substring", "path:sprite", "f.path ILIKE '%sprite%'", "Files by part of the path")
+_search("flt03_name_exact", "filename:!run", "f.filename ILIKE '!run'", "Files by the whole name")
 _search("flt04_path_wildcard", "path:*/!Boot", "f.path ILIKE '%/!Boot'", "Files by a pattern of the path")
 _search("flt06_null_safe_negation", "filename:* !filetype:Text", "f.filename ILIKE '%' AND NOT coalesce(lower(f.risc_os_filetype) = 'fff', false)", "Negation keeps files without a type")
 _search("flt08_size_range", "size:1000..5000", "f.file_size BETWEEN 1000 AND 5000", "Files by a range of sizes")
 _search("flt08_size_bound", "size:>=100000", "f.file_size >= 100000", "Files by a bound of the size")
 _search("flt09_filetype", "type:BASIC type:ffa", "lower(f.risc_os_filetype) IN ('ffb', 'ffa')", "Files by name or code of the type")
 _search("flt10_file_clause", 'ext:txt ext:doc size:<2000 !path:Utils/*', "lower(f.extension) IN ('txt', 'doc') AND f.file_size < 2000 AND NOT coalesce(f.path ILIKE 'Utils/%', false)", "All keys, any value of a key, and a negation")
-_search("flt13_partition_clause", "fs:ADFS filename:!Run", "upper(p.filesystem) = 'ADFS' AND f.filename ILIKE '%!Run%'", "Files of a file system", P)
+_search("flt13_partition_clause", "fs:ADFS filename:*!Run*", "upper(p.filesystem) = 'ADFS' AND f.filename ILIKE '%!Run%'", "Files of a file system", P)
 _search("joi01_star_join", "platform:archimedes artefact:FLUX filetype:Obey", "lower(i.platform) = 'archimedes' AND upper(a.artefact_type) = 'FLUX' AND lower(f.risc_os_filetype) = 'feb'", "Files over all four tables", I)
 
 
@@ -46,14 +48,14 @@ _search("joi01_star_join", "platform:archimedes artefact:FLUX filetype:Obey", "l
 def pip04_search_folded(c: Catalogue) -> DataFrame:
     """Search with equal contents folded to their first file in path order."""
     none = F.lit(None).cast("string")
-    return search.fold(found(c, "filename:a"), hashes.dedupe_key(none, none, "md5", "id"), ["path", "id"])
+    return search.fold(found(c, "filename:*a*"), hashes.dedupe_key(none, none, "md5", "id"), ["path", "id"])
 
 
 @R.query(" SELECT 'files' AS bucket, count(*) AS n FROM f WHERE NOT is_directory AND filename ILIKE '%disc%' UNION ALL SELECT 'artefacts', count(*) FROM a WHERE label ILIKE '%disc%' UNION ALL SELECT 'items', count(*) FROM i WHERE name ILIKE '%disc%' UNION ALL SELECT 'documents', count(*) FROM documents WHERE text ILIKE '%disc%'")
 def set05_bucket_totals(c: Catalogue) -> DataFrame:
     """How often a word is found in files, artefacts, items and documents."""
     parts = [
-        ("files", found(c, "filename:disc")),
+        ("files", found(c, "filename:*disc*")),
         ("artefacts", search.search_words(["disc"], c.artefacts.select("label"), ["label"])),
         ("items", search.search_words(["disc"], c.items.select("name"), ["name"])),
         ("documents", search.search_words(["disc"], c.documents.select("text"), ["text"])),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from discatlas.functions import formats, hashes, paths, text
-from discatlas.operators import dedup, hierarchy, jobs, known, listings, search
+from discatlas.operators import buckets, dedup, hierarchy, jobs, known, listings, search
 
 KNOWN = "id long, product string, md5 string, size long, required boolean"
 
@@ -84,12 +84,51 @@ def test_search_joins_only_what_it_needs(spark):
 
     assert ids("filename:*") == ([1, 2, 4], 0)
     assert ids("filename:* !type:Text") == ([2, 4], 0)
-    assert ids("fs:adfs filename:a") == ([1], 1)
+    assert ids("fs:adfs filename:a*") == ([1], 1) and ids("fs:adfs filename:a")[0] == [] and ids("path:/a")[0] == [1]
     assert ids("platform:AMIGA") == ([1, 2], 3)
     assert ids("!filename:a")[0] == [] and ids("")[0] == []
     assert ids("filename:x%y")[0] == [4] and ids("size:..5")[0] == [1, 4]
 
 
+def test_buckets_of_a_search(spark):
+    make = {
+        "files": "SELECT * FROM VALUES (1, 1, 'd/Mod', 'Mod', 'aa', 'ffa', false), (2, 1, 'Film', 'Film', 'bb', 'ae7', false), (3, 2, 'd/Mod', 'Mod', 'aa', 'ffa', false), (4, 2, 'x', 'x', NULL, NULL, NULL), (5, 2, 'd', 'd', NULL, NULL, true) AS t(id, partition_id, path, filename, md5, risc_os_filetype, is_directory)",
+        "partitions": "SELECT * FROM VALUES (1, 10, 'Work', 'adfs', NULL), (2, 20, NULL, 'other', 'PC raw') AS t(id, artefact_id, label, filesystem, container_format)",
+        "artefacts": "SELECT * FROM VALUES (10, 100, 'Red disc', 'aa', NULL), (20, 100, 'Blue', NULL, 'ff') AS t(id, item_id, label, md5, sha256)",
+        "items": "SELECT 100L AS id, 'Elite disc' AS name, 'a trading game' AS description",
+        "modules": "SELECT * FROM VALUES (10, 'd/Mod', 'FileCore', array('Desktop_Run', NULL), array('FC_Op')), (10, 'd/Mod', 'FileCore', array('Desktop_Run'), NULL), (20, 'd/Mod', 'Other', NULL, array('FC_Op2')) AS t(artefact_id, file_path, title_string, commands, swi_names)",
+        "movies": "SELECT 10 AS artefact_id, 'Film' AS file_path, 'Intro' AS title, 160L AS width, 12.5D AS frame_rate",
+        "protections": "SELECT * FROM VALUES (10, 'weak_bits'), (10, 'long_track'), (20, 'long_track') AS t(artefact_id, kind)",
+        "masterings": "SELECT 20 AS artefact_id, 'tracker' AS kind",
+        "tags": "SELECT * FROM VALUES (10, 'Games'), (20, 'gamma') AS t(artefact_id, tag)",
+    }
+    t = buckets.Tables({name: lambda sql=sql: spark.sql(sql) for name, sql in make.items()})
+
+    def ids(query, dedupe=False):
+        return sorted((r["kind"], r["row_id"]) for df in buckets.found(query, t, dedupe) for r in df.collect())
+
+    assert ids("module:FileCore") == [("file", 1)] and ids("module:File") == []  # two rows of one file are one result
+    assert ids("module:* command:desktop_run") == [("file", 1)] and ids("command:desktop") == [] and ids("command:Desktop*") == [("file", 1)]
+    assert ids("swi:fc_op") == [("file", 1)] and ids("swi:fc*") == [("file", 1), ("file", 3)] and ids("swi:fc* !swi:fc_op2") == [("file", 1)]
+    assert ids("swi:fc* !module:Other") == [("file", 1), ("file", 3)] and ids("swi:fc* path:d/m !type:ffb") == [("file", 1), ("file", 3)]
+    assert ids("type:Module swi:FC_Op2") == [("file", 3)] and ids("type:Obey swi:fc*") == []
+    assert ids("replaywidth:100..200 replaytitle:int !replaytitle:int") == [("file", 2)] and ids("replayframerate:12.5 ext:x") == []
+    assert ids("protection:long_track") == [("protection", 10), ("protection", 20)] and ids("prot:Weak_Bits") == [("protection", 10)]
+    assert ids("mastering:tracker") == [("mastering", 20)] and ids("tag:gam !tag:games") == [("tag", 20)]
+    assert ids("fs:adfs") == [("partition", 1)] and ids("fs:pc") == [("partition", 2)] and ids("label:* !fs:adfs") == []
+    assert ids("md5:a sha256:f") == [("hash", 10), ("hash", 20)] and ids("md5:aa") == [("file", 1), ("file", 3), ("hash", 10)]
+    assert ids("disc") == [("item", 100), ("text", 10)] and ids('disc trading') == [("item", 100)] and ids("disc !text:elite") == [("text", 10)]
+    assert ids("!md5:aa") == [] and ids("") == []
+    folded = buckets.found("path:d/", t, dedupe=True)[0].collect()
+    assert [(r["row_id"], r["detail"]) for r in folded] == [(3, "2")]
+    assert {r["bucket"]: r["n"] for r in buckets.totals(buckets.found("md5:aa disc", t), spark).collect()} == {"files": 2, "artefacts": 2, "items": 1}
+    pages = [[(r["row_id"], r["has_more"]) for r in buckets.page(buckets.found("path:*", t), n, 2).collect()] for n in (1, 2, 3)]
+    assert pages == [[(3, True), (4, True)], [(1, False), (2, False)], []]
+    assert buckets.page([], 1) is None
+    q = search.parse("!prot:x tag:a !tag:b nokey:1 !disc:q sha1:zz")
+    assert buckets.problems(q) == ["unknown key nokey", "zz is no sha1", "!label has no effect without a term of its kind", "!protection has no effect without a term of its kind"]
+
+
 def test_closure_cycles_and_depth(spark):
     chain = [(i, i - 1 if i else None) for i in range(300)]
     deep = hierarchy.closure(spark.createDataFrame(chain, "id long, parent_id long"))
