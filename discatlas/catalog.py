@@ -24,9 +24,13 @@ class Catalogue:
         return first_delivery(self.raw(name), key)
 
     def files_of(self, *columns: str) -> DataFrame:
-        """Extracted files with only these columns: what is left out is not shuffled."""
-        wanted = dict.fromkeys(("id", *columns, "loaded_at"))
-        return first_delivery(self.raw("extracted_files").select(*wanted))
+        """Extracted files with the id and these columns, none of them loaded_at.
+
+        Deliveries of a row hold the same content, so the distinct rows of these
+        columns are one per id; unlike a choice by arrival, that lets filters
+        through to the scan and is combined before the shuffle.
+        """
+        return self.raw("extracted_files").select(*dict.fromkeys(("id", *columns))).distinct()
 
     @cached_property
     def files(self) -> DataFrame:

@@ -145,7 +145,7 @@ def _files(query: Query, t: Tables, dedupe: bool) -> DataFrame | None:
     own, module, movie = family(query, FILE), family(query, MODULE, "key"), family(query, REPLAY, "none")
     if own is None and module is None and movie is None:
         return None
-    rows = t.files.where("NOT coalesce(is_directory, false)")
+    rows = t.files.where("is_directory IS NULL OR NOT is_directory")
     rows = rows if own is None else rows.where(own)
     rows = rows.select(F.col("id").alias("file_id"), "partition_id", "path", "md5", "sha1", "sha256")
     rows = rows.join(t.partitions.select(F.col("id").alias("partition_id"), "artefact_id"), "partition_id").join(_places(t).select("artefact_id", "item_id", "order_item", "order_artefact"), "artefact_id")

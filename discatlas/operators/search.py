@@ -131,7 +131,7 @@ def problems(query: Query, known: set[str] | None = None) -> list[str]:
 def star(query: Query, files: DataFrame, partitions: DataFrame, artefacts: DataFrame, items: DataFrame) -> DataFrame:
     """Files joined with as many of their partition, artefact and item as the query's keys need."""
     needed = {BUILDERS[k][0] for k in query.keys if k in BUILDERS}
-    out = files.where("NOT coalesce(is_directory, false)")
+    out = files.where("is_directory IS NULL OR NOT is_directory")
     out = out.select("*", *(F.lit(None).cast("string").alias(c) for c in ("sha1", "sha256") if c not in out.columns))
     if needed & {"partition", "artefact", "item"}:
         out = out.join(partitions.select(F.col("id").alias("partition_id"), "artefact_id", "filesystem", F.col("label").alias("partition_label")), "partition_id")
