@@ -1,8 +1,9 @@
 """Timestamps in mixed formats and zones to one instant each, through a dictionary.
 
-Raw strings are deduplicated with the zone that counts for them into a
-dictionary of distinct values, which is parsed once, kept as Parquet and only
-ever extended by values it has not seen; instants are joined back to the rows.
+Raw strings are deduplicated with their source and the zone that counts for them
+into a dictionary of distinct values, which is parsed once, kept as Parquet and
+only ever extended by values it has not seen; instants are joined back to the
+rows.
 
 Readings. Text without a zone is wall clock in the zone given beside it, UTC if
 none. A wall clock that occurs twice is its first occurrence, a skipped one is
@@ -16,6 +17,7 @@ gives null.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +77,28 @@ def _wall(wall: Column, zone: Column) -> Column:
     return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), zone))
 
 
+def _parts(text: Column) -> Column:
+    """text in the one form that its first characters allow: a form costs a search, so few are tried."""
+    first, second, third = (F.substring(text, i, 1) for i in (1, 2, 3))
+
+    def early(c: str) -> Column:
+        return (second == c) | (third == c)
+
+    def form(*numbers: int) -> Column:
+        return reduce(lambda c, n: F.regexp_replace(c, *FORMS[n]), numbers, text)
+
+    return (
+        F.when(F.upper(first).between("A", "Z"), form(4, 5, 6))
+        .when(early("-"), form(1))
+        .when(early("/"), form(2))
+        .when(early(":"), form(3))
+        .when(early(" "), form(5))
+        .when(F.substring(text, 5, 1).isin("-", ".", "/"), form(0))
+        .when(F.substring(text, 9, 1) == "T", form(7))
+        .otherwise(form(8))
+    )
+
+
 def parse_instants(values: DataFrame, known: list[str]) -> DataFrame:
     """Add utc_us, microseconds since 1970 UTC that raw names, to a table of raw and zone.
 
@@ -83,7 +107,7 @@ def parse_instants(values: DataFrame, known: list[str]) -> DataFrame:
     once per value and not once per part of the date.
     """
     text = F.trim("raw")
-    split = values.withColumn("__text", text).withColumn("__parts", F.split(reduce(lambda c, form: F.regexp_replace(c, *form), FORMS, text), r"\|", -1))
+    split = values.withColumn("__text", text).withColumn("__parts", F.split(_parts(text), r"\|", -1))
 
     def part(i: int) -> Column:
         return F.get("__parts", F.lit(i))
@@ -142,38 +166,62 @@ def needs_zone(raw: Column) -> Column:
     return ~(text.startswith("&") | (text.rlike(r"^[0-9]+(\.[0-9]+)?$") & (F.length(text) != 14)) | text.rlike(r"([0-9]Z|:[0-9.,]+ ?[+-][0-9:]+(\[.*\])?|\])$"))
 
 
+KEYS = ["raw", "source", "zone"]
+
+
 class InstantDictionary:
-    """Distinct (raw, zone) values and their instants in a Parquet folder, extended as new values come."""
+    """Distinct (raw, source, zone) values and their instants in a folder, extended as new values come.
+
+    Each extension is a folder of its own that gets its name only when it is
+    whole, so a reader never sees half of one and writers don't disturb each
+    other. Values that two writers added at once come out once.
+    """
+
+    SCHEMA = "raw string, source string, zone string, utc_us long"
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._files = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def extensions(self) -> list[str]:
+        """Folders of the extensions."""
+        return sorted(str(status.getPath()) for status in self._files.globStatus(self._path("part-*")) or [])
 
     def read(self) -> DataFrame:
-        if not self._exists():
-            return self.spark.createDataFrame([], "raw string, zone string, utc_us long")
-        return self.spark.read.schema("raw string, zone string, utc_us long").parquet(self.path)
+        parts = self.extensions()
+        if not parts:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        found = self.spark.read.schema(self.SCHEMA).parquet(*parts)
+        return found.dropDuplicates(KEYS) if len(parts) > 1 else found
 
     def extend(self, values: DataFrame) -> DataFrame:
-        """Parse the (raw, zone) of values that are not in the dictionary yet, add them, and give it whole."""
-        fresh = values.select("raw", "zone").dropDuplicates(["raw", "zone"])
-        if self._exists():
-            fresh = fresh.join(self.read(), ["raw", "zone"], "left_anti")
-        parse_instants(fresh, zones(self.spark)).write.mode("append").parquet(self.path)
+        """Parse the (raw, source, zone) of values that are not in the dictionary yet, add them, and give it whole."""
+        fresh = values.select(*KEYS).dropDuplicates(KEYS)
+        if self.extensions():
+            fresh = fresh.join(self.read(), KEYS, "left_anti")
+        name = uuid.uuid4().hex
+        parse_instants(fresh, zones(self.spark)).write.parquet(f"{self.path}/new-{name}")
+        if self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/new-{name}").isEmpty():
+            self._files.delete(self._path(f"new-{name}"), True)
+        else:
+            self._files.rename(self._path(f"new-{name}"), self._path(f"part-{name}"))
         return self.read()
 
-    def _exists(self) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
 
-def normalise(rows: DataFrame, raw: str, zone: str, dictionary: InstantDictionary) -> DataFrame:
+def normalise(rows: DataFrame, raw: str, zone: str, dictionary: InstantDictionary, source: str | None = None) -> DataFrame:
     """rows with the column utc_us, through the dictionary; null text gives null.
 
-    raw and zone name text columns; a null zone is UTC. A utc_us that rows
-    already have is replaced. A hot text is one row of
-    the dictionary, so adaptive execution can split its rows over many tasks.
+    raw and zone name text columns; a null zone is UTC. source names the column
+    that tells where a text comes from, if any. A utc_us that rows already have
+    is replaced. A hot text is one row of the dictionary, so adaptive execution
+    can split its rows over many tasks.
     """
-    keyed = rows.drop("utc_us").withColumn("__raw", F.col(raw)).withColumn("__zone", F.when(needs_zone(F.col(raw)), F.coalesce(F.col(zone), F.lit(""))).otherwise(""))
-    known = dictionary.extend(keyed.where("__raw IS NOT NULL").select(F.col("__raw").alias("raw"), F.col("__zone").alias("zone")))
-    known = known.select(F.col("raw").alias("__raw"), F.col("zone").alias("__zone"), "utc_us")
-    return keyed.join(known, ["__raw", "__zone"], "left").drop("__raw", "__zone")
+    where = F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit("")
+    keyed = rows.drop("utc_us").withColumns({"__raw": F.col(raw), "__source": where, "__zone": F.when(needs_zone(F.col(raw)), F.coalesce(F.col(zone), F.lit(""))).otherwise("")})
+    wanted = keyed.where("__raw IS NOT NULL").select(F.col("__raw").alias("raw"), F.col("__source").alias("source"), F.col("__zone").alias("zone"))
+    known = dictionary.extend(wanted).select(*(F.col(k).alias(f"__{k}") for k in KEYS), "utc_us")
+    return keyed.join(known, [f"__{k}" for k in KEYS], "left").drop(*(f"__{k}" for k in KEYS))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from discatlas.operators import instants, nested, orphans, skewagg
-from discatlas.runtime import scratch, stored
+from discatlas.runtime import shared_dir, stored
 from discatlas.tables import distinct_delivery, first_delivery, load
 
 TIME_FIELDS = ("created_time", "modified_time", "accessed_time")
@@ -31,15 +33,20 @@ def _entities(label: str, fields: dict[str, str]):
     return query
 
 
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Every time field that isn't in the canonical form, as a UTC instant."""
+def p3_found(spark: SparkSession, folder: str, kept: str | None = None) -> DataFrame:
+    """Every time field that isn't in the canonical form, as a UTC instant.
+
+    kept is the folder of the dictionary. The next run over the same tables finds
+    it there, below the shared folder if nothing else is said, and parses new
+    texts only.
+    """
     files = load(spark, folder, "extracted_files").select("id", "partition_id", *TIME_FIELDS)
     melted = files.unpivot(["id", "partition_id"], list(TIME_FIELDS), "field_name", "raw")
     wanted = distinct_delivery(melted.where(F.col("raw").isNotNull() & ~F.col("raw").rlike(instants.CANONICAL)), "id", "field_name")
     zones = first_delivery(load(spark, folder, "disc_partitions").select("id", "source_tz", "loaded_at"))
     rows = wanted.join(zones.select(F.col("id").alias("partition_id"), "source_tz"), "partition_id", "left")
-    dictionary = instants.InstantDictionary(spark, scratch(spark, "instants"))
-    found = instants.normalise(rows, "raw", "source_tz", dictionary)
+    dictionary = instants.InstantDictionary(spark, kept or f"{shared_dir(spark)}/instants/{hashlib.sha256(folder.encode()).hexdigest()[:16]}")
+    found = instants.normalise(rows, "raw", "source_tz", dictionary, "field_name")
     return found.where("utc_us IS NOT NULL").select(F.col("id").alias("file_id"), "field_name", "utc_us")
 
 

@@ -83,9 +83,19 @@ def test_dictionary_grows_only_by_new_values(spark, tmp_path):
     out = {r["id"]: r["utc_us"] for r in instants.normalise(rows, "raw", "zone", store).collect()}
     assert out == {1: us(1994, 7, 2), 2: us(1994, 7, 2), 3: None, 4: None}
     before = store.read().count()
-    instants.normalise(rows.union(spark.createDataFrame([(5, "1994-07-03", None, "")], rows.schema)), "raw", "zone", store).collect()
-    assert store.read().count() == before + 1
+    more = rows.union(spark.createDataFrame([(5, "1994-07-03", None, "")], rows.schema))
+    instants.normalise(more, "raw", "zone", store).collect()
+    assert store.read().count() == before + 1 and len(store.extensions()) == 2
     assert store.read().select("raw", "zone").distinct().count() == before + 1
+    # A further run parses nothing; half a write and a doubled value change nothing.
+    instants.normalise(more, "raw", "zone", store).collect()
+    assert len(store.extensions()) == 2
+    (tmp_path / "d" / "new-broken").mkdir()
+    spark.createDataFrame([("1994-07-03", "", "", us(1994, 7, 3))], store.SCHEMA).write.parquet(f"file://{tmp_path}/d/part-zz")
+    again = {r["id"]: r["utc_us"] for r in instants.normalise(more, "raw", "zone", store).collect()}
+    assert again == {**out, 5: us(1994, 7, 3)} and instants.normalise(more, "raw", "zone", store).count() == 5
+    by_source = instants.normalise(rows.withColumnRenamed("utc_us", "tool"), "raw", "zone", store, "tool")
+    assert {r["id"]: r["utc_us"] for r in by_source.collect()} == out
 
 
 def test_empty_table(spark, tmp_path):
