@@ -36,6 +36,9 @@ def closure(nodes: DataFrame, key: str = "id", parent: str = "parent_id", itself
         if now == known:
             break
         known = now
+    else:
+        if known:
+            raise RuntimeError(f"paths go on beyond {MAX_ROUNDS} doublings")
     if itself:
         own = nodes.where(F.col(key).isNotNull()).select(F.col(key).alias("node"), F.col(key).alias("ancestor"), F.lit(0).alias("distance")).distinct()
         pairs = pairs.where("node != ancestor").unionByName(own)

@@ -24,10 +24,10 @@ def distinct_totals(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> tuple[DataFrame, bool]:
-    """(rows of a page from 1, whether more follow): one row more than the page is asked for."""
+    """(rows of a page from 1, whether more follow): one row more than the page is asked for, and kept, so the plan runs once."""
     number, size = max(1, number), size if size in PAGE_SIZES else PAGE_SIZES[0]
-    window = rows.orderBy(*order).offset((number - 1) * size).limit(size + 1)
-    return window.limit(size), window.count() > size
+    asked = rows.orderBy(*order).offset((number - 1) * size).limit(size + 1).collect()
+    return rows.sparkSession.createDataFrame(asked[:size], rows.schema), len(asked) > size
 
 
 def capped_trees(rows: DataFrame, tree: str, kind: str, order: list[Column], most: int = 200_000) -> DataFrame:

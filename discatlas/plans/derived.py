@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from discatlas.catalog import Catalogue, Registry
@@ -138,10 +138,15 @@ def set01_ways_of_access(c: Catalogue) -> DataFrame:
     return own.unionByName(held)
 
 
-@R.query(" SELECT DISTINCT lower(md5) AS md5 FROM b WHERE md5 IS NOT NULL INTERSECT SELECT lower(md5) FROM f WHERE md5 IS NOT NULL")
+@R.query(" SELECT id AS blob_id FROM b WHERE md5 IN (SELECT md5 FROM b GROUP BY md5 HAVING count(*) > 1) INTERSECT SELECT id FROM b WHERE lower(sha256) IN (SELECT lower(sha256) FROM b GROUP BY 1 HAVING count(*) > 1)")
 def set03_hashes_in_both(c: Catalogue) -> DataFrame:
-    """Hashes that occur among blobs and among extracted files."""
-    return c.blobs.where("md5 IS NOT NULL").select(F.lower("md5").alias("md5")).intersect(c.raw("extracted_files").where("md5 IS NOT NULL").select(F.lower("md5").alias("md5")))
+    """Blobs that share their md5 with others and their sha256 with others: two pools of ids, intersected."""
+
+    def pool(h: Column) -> DataFrame:
+        rows = c.blobs.select(F.col("id").alias("blob_id"), h.alias("h")).where("h IS NOT NULL")
+        return rows.join(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "h", "left_semi").select("blob_id")
+
+    return pool(F.col("md5")).intersect(pool(F.lower("sha256")))
 
 
 @R.query(UP + " SELECT DISTINCT i.owner_id AS user_id, s.node AS item_id FROM self s JOIN i ON i.id = s.ancestor WHERE i.owner_id IS NOT NULL")

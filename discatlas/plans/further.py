@@ -117,15 +117,15 @@ def fun42_storage_keys_checked(c: Catalogue) -> DataFrame:
     return c.stored.where("storage_path IS NOT NULL").select("object_id", text.valid_key("storage_path").alias("valid"), text.mime_type("storage_path").alias("mime"))
 
 
-@R.query(r""", im AS (SELECT DISTINCT partition_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, lower(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[A-Za-z0-9]+$', '')) AS base FROM f WHERE is_archive AND path IS NOT NULL),
+@R.query(r""", im AS (SELECT DISTINCT partition_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, lower(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[A-Za-z0-9]+$', '')) AS base FROM f WHERE NOT is_directory AND path IS NOT NULL),
 sc AS (SELECT partition_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, lower(regexp_extract(path, '([^/]*)$', 1)) AS name FROM f WHERE NOT is_directory AND path IS NOT NULL)
 SELECT im.partition_id, im.path AS image, sc.path AS sidecar FROM im JOIN sc USING (partition_id, folder) WHERE im.path <> sc.path AND starts_with(sc.name, im.base)""")
 def imp02_sidecars(c: Catalogue) -> DataFrame:
-    """Files beside an archive whose name begins with the archive's."""
-    files = c.files_of("partition_id", "path", "is_archive", "is_directory").where("path IS NOT NULL")
+    """Files beside a file whose name begins with the other's."""
+    files = c.files_of("partition_id", "path", "is_directory").where("NOT is_directory AND path IS NOT NULL")
     base = F.lower(F.regexp_replace(paths.basename("path"), r"\.[A-Za-z0-9]+$", ""))
-    images = files.where("is_archive").select("partition_id", F.col("path").alias("image"), paths.parent("path").alias("folder"), base.alias("base")).distinct()
-    others = files.where("NOT is_directory").select("partition_id", F.col("path").alias("sidecar"), paths.parent("path").alias("folder"), F.lower(paths.basename("path")).alias("name"))
+    images = files.select("partition_id", F.col("path").alias("image"), paths.parent("path").alias("folder"), base.alias("base")).distinct()
+    others = files.select("partition_id", F.col("path").alias("sidecar"), paths.parent("path").alias("folder"), F.lower(paths.basename("path")).alias("name"))
     return images.join(others, ["partition_id", "folder"]).where("image != sidecar AND startswith(name, base)").select("partition_id", "image", "sidecar")
 
 

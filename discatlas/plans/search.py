@@ -209,7 +209,7 @@ def srt01_canonical_order(c: Catalogue) -> DataFrame:
     return files.select(F.col("id").alias("file_id"), "path").orderBy(F.lower("path"), "file_id").limit(100)
 
 
-@R.query()
+@R.query(r""" SELECT id AS artefact_id, array_to_string(list_transform(regexp_extract_all(lower(label), '[0-9]+|[^0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(coalesce(nullif(ltrim(r, '0'), ''), '0'), 20, '0') ELSE r END), '') AS sort_key FROM a WHERE label IS NOT NULL""")
 def srt07_natural_order(c: Catalogue) -> DataFrame:
     """Natural sort key of every artefact label."""
     return c.artefacts.where("label IS NOT NULL").select(F.col("id").alias("artefact_id"), text.natural_key("label").alias("sort_key"))

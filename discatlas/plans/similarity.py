@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from discatlas.catalog import Catalogue, Registry
 from discatlas.functions import paths
 from discatlas.operators import similarity as sim
+from discatlas.runtime import shared_dir
+from discatlas.streaming import live
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -259,9 +263,16 @@ def sim01_endpoints_exist(c: Catalogue) -> DataFrame:
 
 @R.query(PAIRS + " SELECT * FROM pr")
 def pip02_incremental_refresh(c: Catalogue) -> DataFrame:
-    """Pairs refreshed for the partitions of one file system: the same as a full rebuild."""
+    """Pairs refreshed for the partitions of one file system: the same as a full rebuild.
+
+    The pairs kept from before lie below the shared folder; only the first run over
+    a folder of tables builds them.
+    """
     dirty = c.partitions.where("filesystem = 'ADFS'").select(F.col("id").alias("owner"))
-    return sim.refresh(scored(c), content(c), dirty)
+    path = f"{shared_dir(c.spark)}/pairs/{hashlib.sha256(c.folder.encode()).hexdigest()[:16]}"
+    if live.latest(c.spark, path) is None:
+        scored(c).write.mode("overwrite").parquet(f"{path}/v=0")
+    return sim.refresh(live.latest(c.spark, path), content(c), dirty)
 
 
 @R.query(COMPONENTS + """, cs AS (SELECT co.owner, co.root, x.h, x.size FROM co JOIN cd x ON x.owner = co.owner AND x.root = co.root)

@@ -65,12 +65,12 @@ def agg21_partition_counters(c: Catalogue) -> DataFrame:
     return c.partitions.select(F.col("id").alias("partition_id")).join(counted, "partition_id", "left").fillna(0)
 
 
-@R.query("""SELECT p.id AS partition_id, p.total_files AS stored, count(f.id) AS counted FROM p LEFT JOIN f ON f.partition_id = p.id WHERE p.total_files IS NOT NULL GROUP BY ALL HAVING count(f.id) <> p.total_files""")
+@R.query("""SELECT p.id AS partition_id, p.total_files AS stored, count(f.id) AS delivered FROM p LEFT JOIN extracted_files f ON f.partition_id = p.id WHERE p.total_files IS NOT NULL GROUP BY ALL HAVING count(f.id) <> p.total_files""")
 def agg21_counter_drift(c: Catalogue) -> DataFrame:
-    """Partitions whose stored total differs from the files counted."""
-    counted = c.files_of("partition_id").groupBy("partition_id").agg(F.count(F.lit(1)).alias("counted"))
-    joined = c.partitions.where("total_files IS NOT NULL").select(F.col("id").alias("partition_id"), F.col("total_files").alias("stored")).join(counted, "partition_id", "left").fillna(0, ["counted"])
-    return joined.where("stored != counted").select("partition_id", "stored", "counted")
+    """Partitions whose stored total differs from the rows delivered for them: files missing or delivered again."""
+    counted = c.raw("extracted_files").groupBy("partition_id").agg(F.count(F.lit(1)).alias("delivered"))
+    joined = c.partitions.where("total_files IS NOT NULL").select(F.col("id").alias("partition_id"), F.col("total_files").alias("stored")).join(counted, "partition_id", "left").fillna(0, ["delivered"])
+    return joined.where("stored != delivered").select("partition_id", "stored", "delivered")
 
 
 @R.query("SELECT analysis_type, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS n_{s.lower()}" for s in STATUSES) + " FROM an GROUP BY analysis_type")

@@ -57,8 +57,12 @@ def database_json(spark: SparkSession, path: str) -> DataFrame:
     Only schema version 1 is read. Products and files without a title or name are
     left out; is_required is true unless it is false.
     """
-    read = spark.read.schema(DATABASE).option("multiLine", "true").json(path).where("schema_version = 1")
-    products = read.select(F.col("name").alias("database"), F.explode("products").alias("p")).where(F.trim("p.title") != "")
+    return database_files(spark.read.schema(DATABASE).option("multiLine", "true").json(path))
+
+
+def database_files(read: DataFrame) -> DataFrame:
+    """Known files of parsed reference databases."""
+    products = read.where("schema_version = 1").select(F.col("name").alias("database"), F.explode("products").alias("p")).where(F.trim("p.title") != "")
     files = products.select("database", F.trim("p.title").alias("product"), F.explode("p.files").alias("f"))
     return _known(files.select("database", "product", "f.*"))
 
