@@ -166,6 +166,8 @@ class Model:
         return total / slots - oddity(text) / max(1, sum(ord(c) >= 0x80 for c in text)) ** 0.5
 
 
+#: Parts into which the rows of one name are split.
+SPREAD = 4
 #: How much more plausible a restored name must be, and what reading valid UTF-8 in it adds: bytes hardly form it by chance.
 MARGIN = 0.7
 UTF8_BONUS = 4.0
@@ -324,4 +326,6 @@ def restore(df: DataFrame, key: str, fields: list[str], support: int = 2) -> Dat
             yield pd.concat(parts)
 
     wanted = df.select(F.col(key).alias("key"), *(F.col(f).alias(f"field_{i}") for i, f in enumerate(fields)))
-    return wanted.repartition(lanes, *wanted.columns).mapInPandas(run, f"key {kind}, field_name string, restored string")
+    # A worker remembers names, so rows of one name go to few workers; a name that many rows bear is spread over SPREAD.
+    placed = wanted.repartition(lanes, "field_0", F.pmod(F.xxhash64("key"), F.lit(SPREAD)))
+    return placed.mapInPandas(run, f"key {kind}, field_name string, restored string")
