@@ -17,6 +17,8 @@ from discatlas.runtime import cut, scratch
 
 CAP = 50
 FLOOR = 0.10
+#: Contents of an owner that are ordered in one task at most.
+SMALL = 10_000
 
 
 def content_sets(files: DataFrame, owner: str = "owner", h: str = "h", size: str = "size") -> DataFrame:
@@ -65,6 +67,40 @@ def weighted_jaccard(sets: DataFrame, cap: int = CAP, floor: float = FLOOR) -> D
     return score_pairs(candidates(sets, cap), sets).where(F.col("score") >= floor)
 
 
+def content_classes(sets: DataFrame) -> DataFrame:
+    """Owners of equal content: owner, class_id (the smallest owner of the class), n_copies. Fingerprints are combined by partial aggregation."""
+    prints = sets.groupBy("owner").agg(hashes.set_fingerprint(F.concat_ws(":", "h", F.col("size").cast("string"))).alias("print"))
+    firsts = prints.groupBy("print").agg(F.min("owner").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))
+    return prints.join(firsts, "print").select("owner", "class_id", "n_copies")
+
+
+def indexed(sets: DataFrame, floor: float) -> DataFrame:
+    """The contents (h, owner) by which owners of a score >= floor must meet.
+
+    Of each owner's contents, in the order of how many hold them, the most held
+    are left out as long as they weigh less than the floor of its bytes: two
+    owners that share only those score below the floor, so the rarest content
+    that a similar pair shares is kept of both. Owners of more than SMALL
+    contents keep all, which only adds candidates.
+    """
+    ranked = sets.join(document_frequency(sets), "h").join(totals(sets), "owner")
+    order = Window.partitionBy("owner").orderBy(F.desc("df"), "h").rowsBetween(Window.unboundedPreceding, 0)
+    small = ranked.where(F.col("n") <= SMALL).withColumn("upto", F.sum("size").over(order)).where(F.col("upto") >= F.lit(floor * (1 - 1e-9)) * F.col("bytes"))
+    return small.select("h", "owner").unionByName(ranked.where(F.col("n") > SMALL).select("h", "owner"))
+
+
+def uncapped_pairs(sets: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """The pairs of weighted_jaccard without its cap: none with score >= floor is lost, however many hold a content.
+
+    sets should hold one owner of each class of equal content, see
+    content_classes; copies are then members of their class and no pairs. Empty
+    input gives no rows.
+    """
+    kept = cut(indexed(sets, floor))
+    pairs = kept.toDF("h", "a").join(kept.toDF("h", "b"), "h").where("a < b").select("a", "b").distinct()
+    return score_pairs(pairs, sets).where(F.col("score") >= floor)
+
+
 def idf_jaccard(sets: DataFrame, pairs: DataFrame, weights: DataFrame) -> DataFrame:
     """Scores of pairs with bytes weighted by rarity: a, b, score; content without a weight counts once."""
     weighted = sets.join(weights.select("h", "weight"), "h", "left").withColumn("w", F.col("size") * F.coalesce("weight", F.lit(1.0)))

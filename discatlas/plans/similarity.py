@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from discatlas.catalog import Catalogue, Registry
 from discatlas.functions import paths
 from discatlas.operators import similarity as sim
-from discatlas.runtime import shared_dir
+from discatlas.runtime import shared_dir, stored
 from discatlas.streaming import live
 
 R = Registry()
@@ -53,6 +53,36 @@ def agg01_weighted_jaccard(c: Catalogue) -> DataFrame:
     return scored(c)
 
 
+#: SQL of classes of equal content and of pairs between them, without a cap on how many hold a content.
+CLASSES = SETS + """, g AS (SELECT owner, string_agg(h || ':' || size, ',' ORDER BY h) AS print FROM s GROUP BY owner),
+cl AS (SELECT owner, min(owner) OVER (PARTITION BY print) AS class_id, count(*) OVER (PARTITION BY print) AS n_copies FROM g),
+r AS (SELECT s.* FROM s WHERE owner IN (SELECT class_id FROM cl)), t AS (SELECT owner, count(*) AS n, sum(size)::BIGINT AS bytes FROM r GROUP BY owner),
+sh AS (SELECT x.owner AS a, y.owner AS b, count(*) AS sf, sum(least(x.size, y.size))::BIGINT AS sb FROM r x JOIN r y ON x.h = y.h AND x.owner < y.owner GROUP BY ALL),
+un AS (SELECT sh.a, sh.b, sh.sb::DOUBLE / (ta.bytes + tb.bytes - sh.sb)::DOUBLE AS score, sh.sf AS shared_files, ta.n + tb.n - sh.sf AS union_files, sh.sb AS shared_bytes, (ta.bytes + tb.bytes - sh.sb)::BIGINT AS union_bytes
+  FROM sh JOIN t ta ON ta.owner = sh.a JOIN t tb ON tb.owner = sh.b WHERE sh.sb::DOUBLE / (ta.bytes + tb.bytes - sh.sb)::DOUBLE >= 0.1)"""
+
+
+def _uncapped(c: Catalogue) -> tuple[DataFrame, DataFrame]:
+    """(classes, pairs between their smallest owners)."""
+    sets = stored(content(c), "contents")
+    classes = stored(sim.content_classes(sets), "classes")
+    return classes, sim.uncapped_pairs(sets.join(classes.where("owner = class_id").select("owner"), "owner", "left_semi"))
+
+
+@R.query(CLASSES + " SELECT * FROM un")
+def agg01_uncapped_pairs(c: Catalogue) -> DataFrame:
+    """Similar pairs between classes of equal partitions, exact however many partitions hold a content."""
+    return _uncapped(c)[1]
+
+
+@R.query(CLASSES + ", ln AS (SELECT a AS class_id FROM un UNION ALL SELECT b FROM un), lc AS (SELECT class_id, count(*) AS n FROM ln GROUP BY class_id) SELECT cl.owner, cl.class_id, cl.n_copies, coalesce(lc.n, 0) AS n_links FROM cl LEFT JOIN lc USING (class_id)")
+def agg01_uncapped_links(c: Catalogue) -> DataFrame:
+    """Every partition with its class of equal content and how many classes are similar to that."""
+    classes, pairs = _uncapped(c)
+    links = sim.both_directions(pairs).groupBy(F.col("owner").alias("class_id")).agg(F.count(F.lit(1)).alias("n_links"))
+    return classes.join(links, "class_id", "left").select("owner", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 @R.query(SETS + " SELECT * FROM s")
 def agg02_content_sets(c: Catalogue) -> DataFrame:
     """Content of every partition, once each."""

@@ -122,3 +122,26 @@ def test_empty(spark):
     assert sim.weighted_jaccard(sets).count() == 0 and sim.components(empty).count() == 0
     assert sim.both_directions(sim.weighted_jaccard(sets)).columns[:2] == ["owner", "other"]
     assert sets.agg(F.count("*")).first()[0] == 0
+
+
+@pytest.mark.parametrize("most", [3, 10_000])
+def test_no_pair_is_lost_without_the_cap(spark, monkeypatch, most):
+    monkeypatch.setattr(sim, "SMALL", most)
+    rng = random.Random(3)
+    popular = {f"p{i}": rng.randint(1, 300) for i in range(8)}
+    sets = {o: {**{h: s for h, s in popular.items() if rng.random() < 0.8}, **{f"u{o}-{i}": rng.randint(1, 200) for i in range(rng.randint(0, 5))}} for o in range(90)}
+    sets[90] = dict(sets[0])
+    rows = spark.createDataFrame([(o, h, s) for o, own in sets.items() for h, s in own.items()], "owner long, h string, size long")
+    expected = {}
+    for a in sets:
+        for b in sets:
+            shared = sum(min(sets[a][h], sets[b][h]) for h in sets[a].keys() & sets[b].keys())
+            union = sum(sets[a].values()) + sum(sets[b].values()) - shared
+            if a < b and shared and shared / union >= 0.4:
+                expected[(a, b)] = shared / union
+    got = {(r["a"], r["b"]): r["score"] for r in sim.uncapped_pairs(rows, 0.4).collect()}
+    assert got == pytest.approx(expected) and len(got) > 100
+    assert sim.weighted_jaccard(rows, floor=0.4).count() < len(got)
+    classes = {r["owner"]: (r["class_id"], r["n_copies"]) for r in sim.content_classes(rows).collect()}
+    assert classes[90] == classes[0] == (0, 2) and classes[1] == (1, 1)
+    assert sim.uncapped_pairs(rows.where("false")).count() == 0
