@@ -27,14 +27,18 @@ sc AS (SELECT sh.a, sh.b, sh.sb::DOUBLE / (ta.bytes + tb.bytes - sh.sb)::DOUBLE
 pr AS (SELECT * FROM sc WHERE score >= 0.1)"""
 
 
+def _hashable(files: DataFrame) -> DataFrame:
+    return files.where("NOT is_directory AND md5 IS NOT NULL AND file_size > 0 AND partition_id IS NOT NULL").select(F.col("partition_id").alias("owner"), "path", F.col("md5").alias("h"), F.col("file_size").alias("size"))
+
+
 def hashable(c: Catalogue) -> DataFrame:
     """Files that count in similarity: owner (partition), path, h, size."""
-    files = c.files_of("partition_id", "path", "md5", "file_size", "is_directory")
-    return files.where("NOT is_directory AND md5 IS NOT NULL AND file_size > 0 AND partition_id IS NOT NULL").select(F.col("partition_id").alias("owner"), "path", F.col("md5").alias("h"), F.col("file_size").alias("size"))
+    return _hashable(c.files_of("partition_id", "path", "md5", "file_size", "is_directory"))
 
 
 def content(c: Catalogue) -> DataFrame:
-    return sim.content_sets(hashable(c))
+    """Content of every partition; repeated deliveries fold with the contents themselves."""
+    return sim.content_sets(_hashable(c.raw("extracted_files")))
 
 
 def scored(c: Catalogue) -> DataFrame:

@@ -71,7 +71,8 @@ def rec08_archive_members(c: Catalogue) -> DataFrame:
 SELECT partition_id, path, depth, CASE WHEN depth = 1 THEN '' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS parent FROM x""")
 def rec10_directory_tree(c: Catalogue) -> DataFrame:
     """Directories of every partition as flat (path, parent, depth) rows."""
-    folders = c.files_of("partition_id", "path").where("path IS NOT NULL").select("partition_id", F.explode(paths.ancestors("path")).alias("path")).distinct()
+    # Repeated deliveries fold with the folders themselves.
+    folders = c.raw("extracted_files").where("path IS NOT NULL").select("partition_id", F.explode(paths.ancestors("path")).alias("path")).distinct()
     return folders.select("partition_id", "path", paths.depth("path").cast("long").alias("depth"), paths.parent("path").alias("parent"))
 
 
